@@ -1,4 +1,4 @@
-"""Compare registered queries with their SQL twins: python tools_check.py SF_DIR [name ...]"""
+"""Compare registered queries with their SQL twins: python check_queries.py SF_DIR [name ...]"""
 
 from __future__ import annotations
 

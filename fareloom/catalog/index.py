@@ -167,14 +167,14 @@ def _report(spark, sf):
 # --- Aggregates --------------------------------------------------------------------------------
 
 _FACT_SQL = (
-    f"SELECT route, {S.period('month_ord')} AS period, {S.r('fare', 4)} AS representative_fare, n AS observations_used,"
+    f"SELECT route, {S.period('month_ord')} AS period, {S.r('fare', 7)} AS representative_fare, n AS observations_used,"
     " ok_n AS sufficient FROM facts"
 )
 
 
 def _facts(spark, sf, **options):
     rows = price_index(spark, sf, "nation", **options).facts
-    return rows.select("route", "period", rd("representative_fare", 4), "observations_used", "sufficient")
+    return rows.select("route", "period", rd("representative_fare", 7), "observations_used", "sufficient")
 
 
 query("route_period_fares", S.index_ctes(S.fares("nation")) + _FACT_SQL)(_facts)
@@ -185,7 +185,7 @@ query("route_period_fares_mean", S.index_ctes(S.fares("nation"), rep="mean") + _
 
 def _region_facts(spark, sf, **options):
     rows = price_index(spark, sf, **options).facts
-    return rows.select("route", "period", rd("representative_fare", 4), "observations_used", "sufficient")
+    return rows.select("route", "period", rd("representative_fare", 7), "observations_used", "sufficient")
 
 
 query("route_period_fares_trimmed", S.index_ctes(rep="trimmed_mean") + _FACT_SQL)(
@@ -635,7 +635,7 @@ def income(spark, sf):
     "affordability",
     S.index_ctes()
     + f""", {_INCOME} SELECT n.period, '1-URGENT' AS indicator, {S.r('idx', 4)} AS airfare_index,
-    {S.r('CASE WHEN idx IS NOT NULL AND value <> 0 THEN value END', 4)} AS income_index,
+    {S.r('CASE WHEN idx IS NOT NULL AND value <> 0 THEN value END', 6)} AS income_index,
     {S.r('idx / nullif(value, 0) * 100', 4)} AS relative_affordability,
     CASE WHEN idx IS NOT NULL AND coalesce(value, 0) <> 0 THEN 'OK' ELSE 'DATA_UNAVAILABLE' END AS status FROM national n
     LEFT JOIN (SELECT * FROM income WHERE indicator = '1-URGENT') i USING (period)"""
@@ -644,7 +644,7 @@ def income(spark, sf):
 def _affordability(spark, sf):
     rows = aff.affordability(price_index(spark, sf).national(), income(spark, sf), "1-URGENT")
     return rows.select(
-        "period", "indicator", rd("airfare_index", 4), rd("income_index", 4), rd("relative_affordability", 4), "status"
+        "period", "indicator", rd("airfare_index", 4), rd("income_index", 6), rd("relative_affordability", 4), "status"
     )
 
 

@@ -1,2 +1,114 @@
+"""Streaming jobs run to the end of the landed data, then read back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..config import IndexConfig
+from ..functions import columns as C
+from ..session import shared_dir, tune
+from ..sources import domain_views as V
+from ..streaming import quotes as ST
+from . import views as S
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = lambda spark, sf_dir: f(tune(spark), sf_dir)
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def folder(spark, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def drain(stream, spark, name: str):
+    """Run an append query over everything landed so far and return what it wrote."""
+    out = folder(spark, name)
+    (
+        stream.writeStream.format("parquet")
+        .option("checkpointLocation", f"{out}-state")
+        .trigger(availableNow=True)
+        .start(out)
+        .awaitTermination()
+    )
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def land(df, spark, name: str):
+    """Write a table as landed files and open them as a stream."""
+    path = folder(spark, name)
+    df.write.parquet(path)
+    return ST.stream_runs(spark, path, df.schema, "parquet")
+
+
+@query(
+    "stream_checked",
+    f"WITH src AS ({S.fares_dirty()}), checked AS ({S.CHECKED}) SELECT coalesce(rejection_reason, 'VALID') AS reason, count(*) AS n FROM checked GROUP BY 1",
+)
+def _checked(spark, sf):
+    stream = ST.checked(land(V.fares_dirty(spark, sf), spark, "landed"))
+    rows = drain(stream.select("observation_id", "rejection_reason"), spark, "checked")
+    return rows.groupBy(F.coalesce("rejection_reason", F.lit("VALID")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "stream_dedup",
+    f"WITH src AS ({S.fares_dirty()}) SELECT DISTINCT coalesce(observation_id, '') AS observation_id FROM src",
+)
+def _dedup(spark, sf):
+    rows = V.fares_dirty(spark, sf).select(
+        F.coalesce("observation_id", F.lit("")).alias("observation_id"), F.to_timestamp("timestamp").alias("scraped_at")
+    )
+    return drain(ST.dedup_stream(land(rows, spark, "landed"), delay="5000 days"), spark, "dedup").select("observation_id")
+
+
+@query(
+    "stream_freshness",
+    f"""WITH c AS ({S.CALLS}) SELECT source, strftime(date_trunc('day', called_at), '%Y-%m-%d') AS day, count(*) AS received, count(*) FILTER (WHERE status = 'SUCCESS') AS valid,
+    strftime(max(called_at), '%Y-%m-%d %H:%M:%S') AS newest FROM c GROUP BY 1, 2, date_trunc('day', called_at) HAVING date_trunc('day', called_at) + INTERVAL 1 DAY <= (SELECT max(called_at) FROM c) - INTERVAL 2 DAY""",
+)
+def _freshness(spark, sf):
+    """Windows the watermark has closed; the open ones of the last two days are not out yet."""
+    calls = V.calls(spark, sf).select("source", "status", "called_at")
+    stream = ST.freshness_by_source(land(calls, spark, "landed"), "called_at", ok="status = 'SUCCESS'")
+    rows = drain(stream, spark, "freshness")
+    return rows.select(
+        "source", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "received", "valid",
+        F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest"),
+    )
+
+
+@query(
+    "stream_refreshed_months",
+    S.index_ctes() + f"SELECT route, {S.period('month_ord')} AS period, {S.r('fare', 4)} AS representative_fare, n AS observations_used FROM facts",
+)
+def _refreshed(spark, sf):
+    """Facts kept current batch by batch equal the facts of one batch over everything."""
+    landed, quotes_path, facts_path = (folder(spark, n) for n in ("landed", "quotes", "facts"))
+    fares = V.fares(spark, sf)
+    fares.repartition(3, "observation_id").write.parquet(landed)
+    stream = (
+        spark.readStream.schema(fares.schema).option("maxFilesPerTrigger", 2).parquet(landed)
+    )
+    (
+        stream.writeStream.foreachBatch(ST.refresh_touched_months(IndexConfig(S.BASE), quotes_path, facts_path))
+        .option("checkpointLocation", f"{landed}-state")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    rows = spark.read.parquet(facts_path)
+    return rows.select(
+        "route", C.period_text(F.col("month_ord")).alias("period"), F.round("representative_fare", 4).alias("representative_fare"),
+        "observations_used",
+    )

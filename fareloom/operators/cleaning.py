@@ -68,9 +68,15 @@ def outlier_limits(counts: DataFrame, keys: Sequence[str], config: IndexConfig)
     )
 
 
-def flag_outliers(counts: DataFrame, keys: Sequence[str], config: IndexConfig) -> DataFrame:
-    """Value counts with `is_outlier`. Comparisons are strict, a group without limits has none."""
-    limits = outlier_limits(counts, keys, config)
+def flag_outliers(
+    counts: DataFrame, keys: Sequence[str], config: IndexConfig, limits: DataFrame | None = None
+) -> DataFrame:
+    """Value counts with `is_outlier`. Comparisons are strict, a group without limits has none.
+
+    `limits` may be passed in when they are already staged.
+    """
+    if limits is None:
+        limits = outlier_limits(counts, keys, config)
     if limits is None:
         return counts.withColumn("is_outlier", F.lit(False))
     fare = F.col("standardized_fare")

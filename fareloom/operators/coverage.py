@@ -67,12 +67,16 @@ def target_table(ranked: DataFrame, targets: Sequence[float]) -> DataFrame:
 
 
 def bidirectional_summary(ranked: DataFrame) -> DataFrame:
-    """Both directions of a pair together, ranked."""
+    """Both directions of a pair together, ranked.
+
+    The rank goes by passengers, to which the weight is proportional: their sums are exact, so
+    equal pairs stay equal and fall back to their names.
+    """
     pair = F.concat_ws(" <-> ", F.least("origin", "destination"), F.greatest("origin", "destination"))
     both = ranked.groupBy(pair.alias("city_pair")).agg(
         F.sum("passengers").alias("passengers"), F.sum("national_weight").alias("national_weight")
     )
-    order = W.partitionBy(F.lit(1)).orderBy(F.desc("national_weight"), "city_pair")
+    order = W.partitionBy(F.lit(1)).orderBy(F.desc("passengers"), "city_pair")
     return both.withColumn("rank", F.row_number().over(order))
 
 

@@ -29,12 +29,13 @@ def collapse_identical(df: DataFrame) -> DataFrame:
 def with_row_order(df: DataFrame, raw_cols: Sequence[str], order_cols: Sequence[str] = ORDER_COLS) -> DataFrame:
     """Add `content_key` (all raw columns but the id) and `row_order`, a strict total order.
 
-    The order is the given columns, then id and content; the null mask separates rows that differ
+    The order is the given columns in turn, then id and content; the null mask separates rows that differ
     only in null versus empty text.
     """
     content = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in raw_cols if c != "observation_id"]
     mask = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in raw_cols])
-    order = [F.col(c) for c in order_cols if c in df.columns and c != "observation_id"]
+    given = [c for c in order_cols if c in df.columns]
+    order = [F.col(c).alias(f"by_{c}") for c in given]
     key = F.sha2(F.concat_ws("|", *content), 256)
     out = df.withColumn("content_key", key)
     return out.withColumn(

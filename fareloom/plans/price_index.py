@@ -70,8 +70,16 @@ class PriceIndex:
 
     @cached_property
     def flagged(self) -> DataFrame:
-        """Counts with `is_outlier`; limits pool the buckets of a route and month."""
-        return cleaning.flag_outliers(self.counts, ("route", "month_ord"), self.config)
+        """Counts with `is_outlier`; limits pool the buckets of a route and month.
+
+        Limits have one row per route and month and are staged, so that the branches that read
+        the kept counts do not search them again and join them by their known size.
+        """
+        keys = ("route", "month_ord")
+        limits = cleaning.outlier_limits(self.counts, keys, self.config)
+        if limits is not None:
+            limits = stage(limits, "fare-limits")
+        return cleaning.flag_outliers(self.counts, keys, self.config, limits)
 
     @cached_property
     def kept(self) -> DataFrame:
@@ -85,8 +93,9 @@ class PriceIndex:
 
     def month_bounds(self) -> tuple[Column, Column]:
         """First and last observed month as scalar subqueries."""
-        span = self.counts.agg(F.min("month_ord").alias("lo"), F.max("month_ord").alias("hi"))
-        return span.select("lo").scalar(), span.select("hi").scalar()
+        span = F.struct(F.min("month_ord").alias("lo"), F.max("month_ord").alias("hi"))
+        bounds = self.counts.agg(span.alias("span")).scalar()
+        return bounds["lo"], bounds["hi"]
 
     def routes(self, first: str | None = None, last: str | None = None, lead: int = 0) -> DataFrame:
         """Route indices for first..last (default: the observed months), `lead` months earlier on."""

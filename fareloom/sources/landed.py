@@ -89,7 +89,8 @@ def collection_envelopes(
 
 
 def write_envelopes(envelopes: DataFrame, path: str) -> None:
-    envelopes.drop("run_id").write.mode("errorifexists").json(path)
+    """One document per file, as the reader expects."""
+    envelopes.drop("run_id").write.mode("errorifexists").option("maxRecordsPerFile", 1).json(path)
 
 
 # --- Other tables ------------------------------------------------------------------------------

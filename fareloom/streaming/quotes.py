@@ -52,33 +52,37 @@ def freshness_by_source(
     )
 
 
+STORED = "observation_id string, route string, standardized_fare double, batch long, month_ord int"
+
+
 def refresh_touched_months(config: IndexConfig, quotes_path: str, facts_path: str):
     """`foreachBatch` function that keeps route-month facts current.
 
-    A batch is appended to the validated quotes under its own id (a replay overwrites it, so the
-    step is idempotent); the facts of every route and month it touches are then recomputed from
-    all their quotes, because medians cannot be updated in place, and their month partitions are
-    overwritten.
+    A batch is written to the validated quotes under its own id (a replay overwrites it, so the
+    step is idempotent), without the ids an earlier batch already holds. The facts of the months it
+    touches are then recomputed from all their quotes, because medians cannot be updated in place,
+    and those month partitions are overwritten.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         good = with_rejection_reason(batch, config.fare_field).filter(F.col("rejection_reason").isNull())
         rows = enrich(good.drop("rejection_reason"), config)
-        slim = rows.select("observation_id", "route", "month_ord", "standardized_fare").withColumn(
-            "batch_id", F.lit(batch_id).cast("long")
-        )
+        slim = rows.select("observation_id", "route", "month_ord", "standardized_fare")
+        fresh_rows = cleaning.first_per_key(slim, ["observation_id"], ("standardized_fare",))
+        stored = spark.read.schema(STORED).parquet(quotes_path) if batch_id > 0 else None
+        if stored is not None:
+            # Only the ids of the batch are looked up among the stored ones; months are not pruned here.
+            seen = stored.filter(F.col("batch") < batch_id).select("observation_id")
+            fresh_rows = fresh_rows.join(seen, "observation_id", "left_anti")
         target = f"{quotes_path}/batch={batch_id}"
-        slim.write.mode("overwrite").partitionBy("month_ord").parquet(target)
-        written = spark.read.parquet(target)
-        touched = written.select("month_ord").distinct()
-        # The partition column prunes untouched months; one row per month, so it is a small build side.
-        everything = spark.read.option("basePath", quotes_path).parquet(f"{quotes_path}/batch=*")
-        mine = everything.join(touched, "month_ord", "left_semi").select(
-            "batch_id", "observation_id", "route", "month_ord", "standardized_fare"
-        )
-        unique = cleaning.first_per_key(mine, ["observation_id"], ("batch_id",))
-        counts = cleaning.fare_counts(unique)
+        fresh_rows.write.mode("overwrite").partitionBy("month_ord").parquet(target)
+        touched = spark.read.schema(STORED).parquet(quotes_path).filter(F.col("batch") == batch_id)
+        touched = touched.select("month_ord").distinct()
+        everything = spark.read.schema(STORED).parquet(quotes_path).filter(F.col("batch") <= batch_id)
+        # Partition pruning by month: the touched months are one small row each.
+        mine = everything.join(touched, "month_ord", "left_semi").select("route", "month_ord", "standardized_fare")
+        counts = cleaning.fare_counts(mine)
         keys = ("route", "month_ord")
         fresh = facts.route_period_fares(cleaning.survivors(counts, keys, config), config)
         (
