@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import collection as K
 from ..operators import health, indices, quality, ranking
 from ..plans.dashboard import dashboard_summary
-from ..session import shared_dir, tune
+from ..session import shared_dir, stage, tune
 from ..sources import domain_views as V
 from ..sources import landed, payloads
 from . import quality as Q
@@ -303,7 +303,7 @@ def _calendar(spark, sf):
 @query("dashboard_summary")
 def _dashboard(spark, sf):
     index = price_index(spark, sf)
-    inflation = index.inflation()
+    inflation = stage(index.inflation(), "inflation")
     raw = V.fares_dirty(spark, sf)
     report = quality.batch_report(raw, Q.grade(spark, sf))
     rows = dashboard_summary(index.national(), indices.route_listing(inflation, "real"), inflation, report, F.lit(True))

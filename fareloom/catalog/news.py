@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ..config import MatchingConfig
 from ..functions.news_text import classify_event, is_valid_article
-from ..functions import columns as C
 from ..operators import news
-from ..session import tune
+from ..session import stage, tune
 from ..sources import domain_views as V
 from ..sources import payloads
 from . import views as S
@@ -118,7 +117,7 @@ def articles(spark, sf):
 
 def moves(spark, sf):
     rows = news.movements(price_index(spark, sf).inflation(), month_end())
-    return rows.filter(news.is_significant(F.col("change_pct"), 5.0))
+    return stage(rows.filter(news.is_significant(F.col("change_pct"), 5.0)), "movements")
 
 
 @query(
@@ -240,7 +239,3 @@ def _feed_b(spark, sf):
     lo, hi = (F.lit(t).cast("timestamp") for t in ("1998-03-01 00:00:00", "1999-03-01 00:00:00"))
     rows = payloads.parse_articles_feed_b(raw, lo, hi, WORDS)
     return rows.select("url", F.date_format("published_at", "yyyy-MM-dd").alias("day"), "event_type")
-
-
-def period_column(name: str = "month_ord"):
-    return C.period_text(F.col(name))

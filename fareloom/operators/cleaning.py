@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import IndexConfig
+from ..session import stage
 from .quantiles import exact_percentiles, value_counts
 
 ORDER_COLS = ("scraped_at", "observation_id", "total_fare")
@@ -49,7 +50,9 @@ def outlier_limits(counts: DataFrame, keys: Sequence[str], config: IndexConfig)
     if config.outlier_method == "none":
         return None
     if config.outlier_method == "mad":
+        # One row per group, read for the deviations and for the result.
         middle = exact_percentiles(counts, keys, {"center": 0.5}, fare).filter(F.col("total") >= MIN_GROUP)
+        middle = stage(middle, "fare-centers")
         away = counts.join(middle, list(keys)).withColumn("deviation", F.abs(F.col(fare) - F.col("center")))
         spread = value_counts(away, keys, "deviation", "n")
         mad = exact_percentiles(spread, keys, {"mad": 0.5}, "deviation").filter(F.col("mad") != 0)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from ..session import stage
 
 MODELS = ("naive", "historical_mean", "moving_average")
 MIN_FOLDS_FOR_INTERVAL = 3
@@ -201,6 +202,8 @@ def forecast_next(
     if horizon != 1:
         raise ValueError("only one month ahead is supported")
     check_models(models)
+    # Read by the forecast and by the backtest; one row per key and month.
+    table = stage(table, "series")
     order = _by(keys).orderBy("month_ord")
     whole = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     # The frame that ends at the last row itself is the whole series.
@@ -221,7 +224,6 @@ def forecast_next(
         .groupBy(*keys, "model")
         .agg(F.count("error").alias("folds"), F.stddev_samp("error").alias("sd"))
     )
-    joined = heads
     on = [*keys, "model"]
     joined = heads.join(residuals, on, "left")
     reach = F.when(F.coalesce("folds", F.lit(0)) >= MIN_FOLDS_FOR_INTERVAL, 1.96 * F.col("sd"))

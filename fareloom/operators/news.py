@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import MatchingConfig
 from ..functions import columns as C
 from ..functions.news_text import event_label, event_score, tidy
+from ..session import stage
 
 ARTICLE_COLUMNS = (
     "headline", "source", "published_at", "url", "event_type", "summary",
@@ -157,7 +158,10 @@ def rank_articles(moves: DataFrame, articles: DataFrame, config: MatchingConfig
     that meet a movement on a shared tag, contain every movement's top list.
     """
     has_roster = "airlines_on_route" in moves.columns
+    # Both are read by several branches: movements (one row per route and month) and the candidates.
+    moves = stage(moves, "movements")
     nearby = first_by_url(in_window(moves, with_article_columns(articles), config.date_window_days))
+    nearby = stage(nearby, "nearby-articles")
     tagged = _tidied(nearby).withColumn("general", _general_score(config, has_roster))
 
     order = W.partitionBy("as_of").orderBy(F.desc("general"), F.desc("published_at"), "url")

@@ -106,7 +106,7 @@ def newest_timestamp(df: DataFrame) -> Column:
 
 def _mad_limits(counts: DataFrame, key: str, config: QualityConfig) -> DataFrame:
     """(key, total, lo, hi): median +- multiplier * 1.4826 * MAD; lo and hi null when the MAD is 0."""
-    middle = exact_percentiles(counts, [key], {"center": 0.5}, "fare")
+    middle = stage(exact_percentiles(counts, [key], {"center": 0.5}, "fare"), "fare-centers")
     away = counts.join(middle.withColumnRenamed("total", "size"), key)
     away = away.withColumn("deviation", F.abs(F.col("fare") - F.col("center")))
     spread = exact_percentiles(value_counts(away, [key], "deviation", "n"), [key], {"mad": 0.5}, "deviation")
@@ -130,7 +130,8 @@ def mark_suspicious(df: DataFrame, config: QualityConfig) -> DataFrame:
     candidates = df.filter(F.col("rejection_reason").isNull())
     per_route = value_counts(candidates, ["route"], "fare", "copies")
     batch = per_route.withColumn("route", F.lit("*")).groupBy("route", "bin", "fare").agg(F.sum("n").alias("n"))
-    limits = stage(_mad_limits(per_route.unionByName(batch), "route", config), "fare-limits")
+    counts = stage(per_route.unionByName(batch), "route-fare-counts")
+    limits = stage(_mad_limits(counts, "route", config), "fare-limits")
     whole = limits.filter((F.col("route") == "*") & (F.col("total") >= config.sanity_min_group))
     batch_lo, batch_hi = whole.select("lo").scalar(), whole.select("hi").scalar()
     own = F.col("total") >= config.sanity_min_group

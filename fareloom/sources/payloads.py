@@ -1,4 +1,4 @@
-"""Landed responses of fare and news sources, parsed with variant expressions.
+"""Landed responses of fare and news sources, parsed with built-in JSON expressions.
 
 Input is one row per response: the request's columns and `payload`, the response text. Nothing
 here calls a source. A response is one document, so its arrays stay within one row.
@@ -13,51 +13,51 @@ from ..constants import CARRIER_NAMES, EVENT_KEYWORDS
 from ..functions import columns as C
 from ..functions.news_text import classify_event, is_valid_article
 
-REQUEST = ("origin", "destination", "flight_date", "booking_date")
 
 
-def _get(v: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(v, path, kind)
+LEG = "struct<airline: string, departure_airport: struct<time: string>>"
+ITINERARY = f"struct<flights: array<{LEG}>, price: string, total_duration: double, booking_token: string>"
+RESPONSE = f"error string, best_flights array<{ITINERARY}>, other_flights array<{ITINERARY}>"
 
 
-def _is_object(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("OBJECT")
+def _unread_status(payload: Column) -> Column:
+    """Status of a text that gave no itinerary list; parsed in full only for such rows."""
+    doc = F.try_parse_json(payload)
+    return F.when(doc.isNull(), "PARSE_ERROR").when(~F.schema_of_variant(doc).startswith("OBJECT"), "MALFORMED_RESPONSE")
 
 
 def _itineraries(df: DataFrame) -> DataFrame:
-    doc = F.try_parse_json("payload")
-    read = df.withColumn("doc", doc)
-    d = F.col("doc")
-    for name in ("best_flights", "other_flights"):
-        present = _get(d, f"$.{name}", "variant")
-        rows = _get(d, f"$.{name}", "array<variant>")
-        read = read.withColumn(f"bad_{name}", present.isNotNull() & rows.isNull())
-        read = read.withColumn(name, F.coalesce(rows, F.array().cast("array<variant>")))
-    listed = read.withColumn("listed", F.concat("best_flights", "other_flights"))
+    """One parse with a declared schema; a list of another kind reads as null and is told apart after."""
+    read = df.withColumn("doc", F.from_json("payload", RESPONSE))
+    none = F.array().cast(f"array<{ITINERARY}>")
+    lists = [F.col("doc.best_flights"), F.col("doc.other_flights")]
+    listed = read.withColumn("listed", F.concat(*[F.coalesce(x, none) for x in lists]))
 
     def observation(it: Column) -> Column:
-        legs = _get(it, "$.flights", "array<variant>")
         return F.struct(
-            _get(it, "$.flights[0].airline", "string").alias("airline"),
-            F.split(_get(it, "$.flights[0].departure_airport.time", "string"), " ")[0].alias("flight_date"),
-            _get(it, "$.price", "double").alias("total_fare"),
-            (F.size(legs) - 1).alias("stops"),
-            _get(it, "$.total_duration", "double").alias("duration"),
-            _get(it, "$.booking_token", "string").alias("token"),
+            F.try_element_at(it["flights"], F.lit(1))["airline"].alias("airline"),
+            F.split(F.try_element_at(it["flights"], F.lit(1))["departure_airport"]["time"], " ")[0].alias("flight_date"),
+            C.as_number(it["price"]).alias("total_fare"),
+            (F.size(it["flights"]) - 1).alias("stops"),
+            it["total_duration"].alias("duration"),
+            it["booking_token"].alias("token"),
         )
 
     parsed = F.transform("listed", observation)
     good = F.filter(
         parsed, lambda o: o["airline"].isNotNull() & o["flight_date"].isNotNull() & o["total_fare"].isNotNull()
     )
+    wrong_kind = C.any_of(
+        x.isNull() & F.get_json_object("payload", f"$.{name}").isNotNull()
+        for x, name in zip(lists, ("best_flights", "other_flights"))
+    )
     status = (
-        F.when(d.isNull(), "PARSE_ERROR")
-        .when(~_is_object(d), "MALFORMED_RESPONSE")
-        .when(_get(d, "$.error", "variant").isNotNull(), "SOURCE_UNAVAILABLE")
-        .when(F.col("bad_best_flights") | F.col("bad_other_flights"), "MALFORMED_RESPONSE")
-        .when(F.size("listed") == 0, "EMPTY_RESULT")
-        .when(F.size("good") == 0, "PARSE_ERROR")
-        .otherwise("SUCCESS")
+        F.when(F.col("doc.error").isNotNull(), "SOURCE_UNAVAILABLE")
+        .when(F.size("good") > 0, F.when(wrong_kind, "MALFORMED_RESPONSE").otherwise("SUCCESS"))
+        .when(F.size("listed") > 0, F.when(wrong_kind, "MALFORMED_RESPONSE").otherwise("PARSE_ERROR"))
+        .otherwise(
+            F.coalesce(_unread_status(F.col("payload")), F.when(wrong_kind, "MALFORMED_RESPONSE"), F.lit("EMPTY_RESULT"))
+        )
     )
     return listed.withColumn("good", good).withColumn("status", status)
 
@@ -71,8 +71,10 @@ def itinerary_statuses(df: DataFrame) -> DataFrame:
 
 def parse_itineraries(df: DataFrame, source: str = "serpapi_google_flights", prefix: str = "serpapi") -> DataFrame:
     """Observations of search responses. The first leg gives airline and date; bad itineraries drop out."""
-    rows = _itineraries(df).filter(F.col("status") == "SUCCESS")
-    rows = rows.withColumn("o", F.explode("good"))
+    # Generated outer and filtered after: a filter on the status would be pushed below the parse and
+    # repeat it.
+    found = F.when(F.col("status") == "SUCCESS", F.col("good"))
+    rows = _itineraries(df).withColumn("o", F.explode_outer(found)).filter(F.col("o.airline").isNotNull())
     tail = F.when(F.length("o.token") > 0, F.col("o.token")).otherwise(
         F.concat_ws("_", F.col("o.airline"), F.col("o.total_fare").cast("string"))
     )
@@ -92,15 +94,15 @@ def parse_itineraries(df: DataFrame, source: str = "serpapi_google_flights", pre
 
 
 def _calendar(df: DataFrame) -> DataFrame:
-    read = df.withColumn("doc", F.try_parse_json("payload"))
-    d = F.col("doc")
-    days = _get(d, "$.day", "map<string,variant>")
+    """The asked day's entry as text, then its two fields."""
+    days = F.from_json("payload", "day map<string,string>")["day"]
     entry = F.try_element_at(days, F.col("flight_date").cast("string"))
-    read = read.withColumn("days", days).withColumn("entry", entry)
-    fare, code = _get(F.col("entry"), "$.lf", "double"), _get(F.col("entry"), "$.la", "string")
+    read = df.withColumn("days", days).withColumn("entry", entry)
+    read = read.withColumn("fields", F.from_json("entry", "lf string, la string"))
+    fare, code = C.as_number(F.col("fields.lf")), F.col("fields.la")
     status = (
-        F.when(d.isNull() | F.col("days").isNull(), "MALFORMED_RESPONSE")
-        .when(F.col("entry").isNull() | (F.to_json("entry") == "{}"), "EMPTY_RESULT")
+        F.when(F.col("days").isNull(), "MALFORMED_RESPONSE")
+        .when(F.col("entry").isNull() | (F.regexp_replace("entry", r"\s", "") == "{}"), "EMPTY_RESULT")
         .when(fare.isNull() | code.isNull(), "PARSE_ERROR")
         .otherwise("SUCCESS")
     )
@@ -113,13 +115,13 @@ def calendar_statuses(df: DataFrame) -> DataFrame:
 
 def parse_fare_calendar(df: DataFrame, source: str = "yatra") -> DataFrame:
     """The lowest fare of the asked day, one observation per response that has it."""
-    code = F.col("code")
-    carrier = C.first_reason([(name, code == short) for short, name in CARRIER_NAMES]).otherwise(code)
     flight = F.col("flight_date").cast("string")
+    found = F.when(F.col("status") == "SUCCESS", F.struct("fare", "code"))
+    rows = _calendar(df).withColumn("o", F.explode_outer(F.array(found))).filter(F.col("o").isNotNull())
+    code = F.col("o.code")
+    carrier = C.first_reason([(name, code == short) for short, name in CARRIER_NAMES]).otherwise(code)
     return (
-        _calendar(df)
-        .filter(F.col("status") == "SUCCESS")
-        .select(
+        rows.select(
             F.concat_ws("_", F.lit(source), "origin", "destination", flight, code, F.lit("lowest")).alias(
                 "observation_id"
             ),
@@ -128,7 +130,7 @@ def parse_fare_calendar(df: DataFrame, source: str = "yatra") -> DataFrame:
             "destination",
             flight.alias("flight_date"),
             F.col("booking_date").cast("string").alias("booking_date"),
-            F.col("fare").alias("total_fare"),
+            F.col("o.fare").alias("total_fare"),
             F.lit("INR").alias("currency"),
             F.lit(source).alias("source"),
             F.lit("LOWEST_OF_DAY").alias("fare_type"),
