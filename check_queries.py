@@ -48,7 +48,8 @@ def compare(spark, con, name: str, query, sql: str | None, sf_dir: str) -> tuple
         diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
         only = sorted(set(a) - set(b))[:3], sorted(set(b) - set(a))[:3]
         return False, f"{len(a)} vs {len(b)} rows; first differences {diff or only}"
-    return True, f"{len(a)} rows, {took:.1f}s"
+    kinds = [f"{c}: {got[c].dtype}/{want[c].dtype}" for c in got.columns if got[c].dtype.kind != want[c].dtype.kind]
+    return True, f"{len(a)} rows, {took:.1f}s{' kinds differ ' + str(kinds) if kinds else ''}"
 
 
 def main() -> int:

@@ -70,11 +70,11 @@ def _series(spark, sf):
     "backtest_folds",
     _SERIES
     + _FOLDS
-    + f" SELECT key, {S.period('m')} AS period, model, {S.r('CASE WHEN value IS NOT NULL THEN fc END', 5)} AS forecast, status FROM folds",
+    + f" SELECT key, {S.period('m')} AS period, model, {S.r('CASE WHEN value IS NOT NULL THEN fc END', 8)} AS forecast, status FROM folds",
 )
 def _folds(spark, sf):
     rows = forecast.backtest(order_series(spark, sf), ["key"])
-    return rows.select("key", "period", "model", rd("forecast", 5), "status")
+    return rows.select("key", "period", "model", rd("forecast", 8), "status")
 
 
 @query(
@@ -105,7 +105,7 @@ nxt AS (SELECT e.key, model, last_real, used, CASE model WHEN 'naive' THEN naive
     "forecast_next",
     _SERIES
     + _NEXT
-    + f""" SELECT key, model, {S.period('last_real + 1')} AS forecast_period, {S.r('fc', 5)} AS forecast_value,
+    + f""" SELECT key, model, coalesce({S.period('last_real + 1')}, 'UNKNOWN') AS forecast_period, {S.r('fc', 5)} AS forecast_value,
     {S.r('CASE WHEN k >= 3 THEN fc - 1.96 * sd END', 5)} AS lower_bound, {S.r('CASE WHEN k >= 3 THEN fc + 1.96 * sd END', 5)} AS upper_bound,
     used AS data_points_used, CASE WHEN fc IS NULL THEN 'MODEL_NOT_APPLICABLE' ELSE 'OK' END AS status FROM nxt LEFT JOIN res USING (key, model)""",
 )
@@ -220,7 +220,7 @@ def _route_backtests(spark, sf):
     S.index_ctes()
     + _ROUTE_SERIES
     + _NEXT
-    + f" SELECT key AS route, model, {S.period('last_real + 1')} AS forecast_period, {S.r('fc', 5)} AS forecast_value, {S.r('CASE WHEN k >= 3 THEN fc - 1.96 * sd END', 5)} AS lower_bound FROM nxt LEFT JOIN res USING (key, model)",
+    + f" SELECT key AS route, model, coalesce({S.period('last_real + 1')}, 'UNKNOWN') AS forecast_period, {S.r('fc', 5)} AS forecast_value, {S.r('CASE WHEN k >= 3 THEN fc - 1.96 * sd END', 5)} AS lower_bound FROM nxt LEFT JOIN res USING (key, model)",
 )
 def _route_forecasts(spark, sf):
     rows = forecast.forecast_next(_route_series(spark, sf), ["route"])
@@ -233,7 +233,7 @@ def _route_forecasts(spark, sf):
     + f""", ser AS (SELECT 'all' AS key, month_ord AS m, CASE WHEN coverage >= 0.9 THEN idx END AS value,
     row_number() OVER (ORDER BY month_ord) AS slot FROM national {IN_RANGE})"""
     + _NEXT
-    + f" SELECT model, {S.period('last_real + 1')} AS forecast_period, {S.r('fc', 5)} AS forecast_value, {S.r('CASE WHEN k >= 3 THEN fc + 1.96 * sd END', 5)} AS upper_bound, used AS data_points_used FROM nxt LEFT JOIN res USING (key, model)",
+    + f" SELECT model, coalesce({S.period('last_real + 1')}, 'UNKNOWN') AS forecast_period, {S.r('fc', 5)} AS forecast_value, {S.r('CASE WHEN k >= 3 THEN fc + 1.96 * sd END', 5)} AS upper_bound, used AS data_points_used FROM nxt LEFT JOIN res USING (key, model)",
 )
 def _national_forecast(spark, sf):
     points = forecast.series(
@@ -269,6 +269,35 @@ def _window_panels(spark, sf):
     )
 
 
+@query(
+    "booking_window_statuses",
+    S.index_ctes(by="booking_window")
+    + f""", rec AS (SELECT {S.band('datediff(' + "'day'" + ', bd, fd)', S.BOOKING_WINDOWS, 'NULL')} AS window_name, count(*) AS n FROM checked GROUP BY 1)
+    SELECT window_name AS booking_window, n AS record_count, 'OK' AS status FROM rec WHERE window_name IS NOT NULL""",
+)
+def _window_statuses(spark, sf):
+    fares = V.fares(spark, sf)
+    panels = panel.booking_window_panels(fares, IndexConfig(S.BASE), S.BASE, S.CURRENT)
+    rows = panel.window_statuses(fares, panels)
+    return rows.select(F.col("window").alias("booking_window"), "record_count", "status")
+
+
+@query(
+    "panel_views",
+    S.index_ctes()
+    + f"""SELECT route, count(*) AS months, count(*) FILTER (WHERE status = 'OK') AS ok_months, (SELECT count(*) FROM national WHERE idx IS NOT NULL
+    AND month_ord BETWEEN {S.BASE_ORD} AND {S.CURRENT_ORD}) AS national_months FROM routes WHERE month_ord BETWEEN {S.BASE_ORD} AND {S.CURRENT_ORD} GROUP BY route""",
+)
+def _panel_views(spark, sf):
+    periods = [forecast.C.ord_period(m) for m in range(S.BASE_ORD, S.CURRENT_ORD + 1)]
+    built = panel.build_panel(price_index(spark, sf), periods)
+    national = built.national_series(ok_only=True).agg(F.count(F.lit(1)).alias("n")).scalar()
+    ok = built.routes_ok().groupBy("route").agg(F.count(F.lit(1)).alias("ok_months"))
+    months = built.routes.groupBy("route").agg(F.count(F.lit(1)).alias("months"))
+    rows = built.route_list().join(months, "route").join(ok, "route", "left")
+    return rows.select("route", "months", F.coalesce("ok_months", F.lit(0)).alias("ok_months"), national.alias("national_months"))
+
+
 @query(
     "ingest_counts",
     f"""WITH src AS ({S.fares_dirty()}), u AS (SELECT coalesce(observation_id, '') <> '' AND coalesce(airline, '') <> '' AND coalesce(origin, '') <> ''

@@ -12,6 +12,7 @@ from ..session import shared_dir, tune
 from ..sources import domain_views as V
 from ..streaming import quotes as ST
 from . import views as S
+from .quality import DIRTY
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -61,6 +62,16 @@ def _checked(spark, sf):
     return rows.groupBy(F.coalesce("rejection_reason", F.lit("VALID")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "stream_graded",
+    DIRTY + "SELECT coalesce(field_reason, 'OK') AS reason, count(*) AS n FROM fields GROUP BY 1",
+)
+def _graded(spark, sf):
+    stream = ST.graded(land(V.fares_dirty(spark, sf), spark, "landed"))
+    rows = drain(stream.select("observation_id", "rejection_reason"), spark, "graded")
+    return rows.groupBy(F.coalesce("rejection_reason", F.lit("OK")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "stream_dedup",
     f"WITH src AS ({S.fares_dirty()}) SELECT DISTINCT coalesce(observation_id, '') AS observation_id FROM src",

@@ -22,9 +22,10 @@ def month_ord(date: Column) -> Column:
 
 
 def period_text(ordinal: Column) -> Column:
-    """`YYYY-MM` for a month ordinal."""
+    """`YYYY-MM` for a month ordinal, null for null."""
     zero_based = ordinal - 1
-    return F.format_string("%04d-%02d", F.floor(zero_based / 12).cast("int"), (zero_based % 12 + 1).cast("int"))
+    text = F.format_string("%04d-%02d", F.floor(zero_based / 12).cast("int"), (zero_based % 12 + 1).cast("int"))
+    return F.when(ordinal.isNotNull(), text)
 
 
 def period_ord(period: str) -> int:

@@ -55,7 +55,11 @@ def sensitivity(
     """
     config = IndexConfig(base_period)
     pools = [None] + sorted({m.horizon for m in methods if m.horizon})
-    counts = stage(_pooled_counts(PriceIndex(quotes, config), pools, base_period, current_period), "method-counts")
+    every_month = stage(_pooled_counts(PriceIndex(quotes, config), pools), "method-counts")
+    # Fares of two months decide the index, but routes of all months belong to the basket.
+    months = [C.period_ord(base_period), C.period_ord(current_period)]
+    counts = every_month.filter(F.col("month_ord").isin(*months))
+    routes = every_month.select("pool", "route").distinct()
 
     keys = ["pool", "route", "month_ord"]
     parts = []
@@ -73,9 +77,7 @@ def sensitivity(
     trimmed = trimmed_means(kept, group, config.trimmed_mean_proportion, "standardized_fare")
     fares = fares.join(trimmed, group, "left")
     facts = _per_method(fares, methods, config)
-    # Read by the weights and by the index; one row per method, route and month.
-    facts = stage(facts, "method-facts")
-    weights = _method_weights(facts, methods, traffic_weights)
+    weights = _method_weights(routes, methods, traffic_weights)
     by = ("label", "aggregation", "position")
     month = C.period_ord(current_period)
     rows = indices.route_indices(facts, config, current_period, current_period, weights, by)
@@ -103,7 +105,7 @@ def sensitivity(
     )
 
 
-def _pooled_counts(index: PriceIndex, pools: list[str | None], base: str, current: str) -> DataFrame:
+def _pooled_counts(index: PriceIndex, pools: list[str | None]) -> DataFrame:
     rows = index.enriched
     needed = ["observation_id", "route", "month_ord", "booking_horizon_bucket", "standardized_fare"]
     order = [c for c in index.order_cols if c in rows.columns and c != "observation_id" and c not in needed]
@@ -130,8 +132,7 @@ def _pooled_counts(index: PriceIndex, pools: list[str | None], base: str, curren
         )
     )
     unique = grouped.select(F.explode(entries).alias("e")).select("e.*")
-    months = [C.period_ord(base), C.period_ord(current)]
-    return cleaning.fare_counts(unique.filter(F.col("month_ord").isin(*months)), ["pool", "route", "month_ord"])
+    return cleaning.fare_counts(unique, ["pool", "route", "month_ord"])
 
 
 def _per_method(fares: DataFrame, methods: tuple[Method, ...], config: IndexConfig) -> DataFrame:
@@ -171,21 +172,20 @@ def _per_method(fares: DataFrame, methods: tuple[Method, ...], config: IndexConf
     )
 
 
-def _method_weights(facts: DataFrame, methods: tuple[Method, ...], traffic: DataFrame) -> DataFrame:
-    by = ["label", "aggregation", "position"]
-    scheme = {m.label: m.weights for m in methods}
-    routes = facts.select(*by, "route").distinct()
+def _method_weights(routes: DataFrame, methods: tuple[Method, ...], traffic: DataFrame) -> DataFrame:
+    """Weights per method: by rule for the routes its pool observed, or the traffic table."""
+
+    def tag(i: int, m: Method) -> Column:
+        return F.struct(F.lit(m.label).alias("label"), F.lit(m.aggregation).alias("aggregation"), F.lit(i).alias("position"))
+
+    simple = [(i, m) for i, m in enumerate(methods) if m.weights != "traffic"]
+    mine = F.array_compact(F.array(*[F.when(F.col("pool") == (m.horizon or "all"), tag(i, m)) for i, m in simple]))
     ends = F.split("route", "-", 2)
-    rows = routes.select(*by, ends[0].alias("origin"), ends[1].alias("destination"))
-    uniform = [label for label, s in scheme.items() if s == "uniform"]
-    simple = [label for label, s in scheme.items() if s != "traffic"]
-    weight = F.when(F.col("label").isin(uniform), 1.0).otherwise(metro_weight(F.col("origin"), F.col("destination")))
-    plain = rows.filter(F.col("label").isin(simple)).withColumn("weight", weight)
-    tagged = [
-        F.struct(F.lit(m.label).alias("label"), F.lit(m.aggregation).alias("aggregation"), F.lit(i).alias("position"))
-        for i, m in enumerate(methods)
-        if m.weights == "traffic"
-    ]
+    rows = routes.select(F.explode(mine).alias("m"), ends[0].alias("origin"), ends[1].alias("destination"))
+    uniform = F.col("label").isin([m.label for _, m in simple if m.weights == "uniform"])
+    weight = F.when(uniform, 1.0).otherwise(metro_weight(F.col("origin"), F.col("destination")))
+    plain = rows.select("m.*", "origin", "destination").withColumn("weight", weight)
+    tagged = [tag(i, m) for i, m in enumerate(methods) if m.weights == "traffic"]
     if not tagged:
         return plain
     given = traffic.select("origin", "destination", "weight", F.explode(F.array(*tagged)).alias("m"))
