@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +32,10 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a scratch folder only where none is named."""
+    """The folder the cluster names for checkpoints; where none is named, one in the session's warehouse."""
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR, None)
     if not named:
-        named = tempfile.mkdtemp(prefix="fareloom-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
         spark.conf.set(CHECKPOINT_DIR, named)
     return named
 
