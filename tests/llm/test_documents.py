@@ -44,6 +44,7 @@ def test_language_of_odd_rows(spark):
     odd = documents(spark, [(1, None), (2, ""), (3, "123 !?"), (4, "the cat"), (4, "the cat"), (None, "der hund ist"), (7, "chat " * 300_000), (8, "中文")])
     got = language.identify(odd, machines).collect()
     assert [r.lang_pred for r in got][:7] == ["und", "und", "und", "en", "en", "de", "fr"]
+    assert got[7].score == 0 and got[3].score > 0.5
     assert [r.score for r in got][:3] == [0.0, 0.0, 0.0] and got[3].place == "p"
     assert language.fit(known.limit(0)) is None
     assert {r.lang_pred for r in language.identify(odd, None).collect()} == {"und"}
@@ -54,11 +55,11 @@ def test_long_texts_count_whole():
     features, text = language.Features(), "The cat, the dog. " * 100
     stride, language.STRIDE = language.STRIDE, 50
     try:
-        pieces = features(text)
+        pieces, letters = features(text)
     finally:
         language.STRIDE = stride
-    whole = features(text)
-    assert abs(pieces - whole).max() < 0.05
+    whole, same = features(text)
+    assert abs(pieces - whole).max() < 0.05 and (letters == same).all()
 
 
 # secrets
