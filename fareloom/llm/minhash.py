@@ -6,9 +6,11 @@ and its greatest, so 60 evaluations give 120. Bands of these values put texts in
 1. Texts of one set are one class; only classes go on, so thousands of copies cost one.
 2. In each bucket, every class is paired with the bucket's least class, and the pair confirmed on full sets: a
    bucket of n gives n - 1 pairs.
-3. What these links leave apart: two classes of one bucket in different components are paired as well, unless their
-   similarities to the bucket's least class (1 - similarity is a metric) or their sizes rule a link out. So no link
-   between classes that share a bucket is lost, and a bucket doesn't give all its pairs.
+3. What these links leave apart: the classes paired with one least class, if they ended in several components, are
+   compared with each other in blocks of bounded size, exactly and inside a task; only links come out. Compared are
+   classes of different components, one of which at least isn't linked to the least class, unless their sizes or
+   their similarities to it (1 - similarity is a metric) rule a link out. So no link between classes that share a
+   bucket is lost, and no pairs are written out to be tested.
 4. Components of all links by star steps.
 
 At a similarity of s a pair shares no bucket with probability (1 - s^rows)^bands: 8e-7 at 0.85 with 24 bands of 5,
@@ -35,6 +37,8 @@ PERMUTATIONS = 60
 SEED = 10
 #: Shingles of one text that are hashed at once.
 STRIDE = 4096
+#: Mean number of classes, and of characters, in a block of a group that is compared.
+BLOCK, BLOCK_CHARS = 64, 1 << 22
 
 
 def shingle_set(text: str | None, words: int):
@@ -145,6 +149,64 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary, common long, union long")
 
 
+def apart(near: DataFrame, labels: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes that `near` pairs with the same class a and `labels` has in different components."""
+    label = lambda side, name: labels.select(F.col("node").alias(side), F.col("label").alias(name))
+    rows = near.select("a", "b", (F.col("common") / F.col("union")).alias("near")).join(label("b", "label"), "b", "left").join(label("a", "centre"), "a", "left")
+    rows = rows.select("a", "b", "near", F.coalesce("label", "b").alias("label"), F.coalesce("centre", "a").alias("centre"))
+    mixed = rows.where("label <> centre").groupBy("a").count().select("a")
+    rows = stage(rows.join(mixed, "a").join(texts.withColumnRenamed("class", "b"), "b").select("a", "b", "near", "label", "text"), "minhash-apart")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("long")
+    rows = rows.join(rows.groupBy("a").agg(blocks.alias("blocks")), "a")
+    block = F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")
+    packed = stage(rows.groupBy("a", block).agg(F.collect_list(F.struct("b", "near", "label", "text")).alias("rows")), "minhash-blocks")
+    limit = percent / 100
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        width = 1 - limit + 1e-9
+        kept: dict = {}
+
+        def block_sets(a, block, rows):
+            if (a, block) not in kept:
+                if len(kept) >= 4:
+                    kept.clear()
+                kept[a, block] = [shingle_set(r["text"], words) for r in rows]
+            return kept[a, block]
+
+        for batch in batches:
+            links = []
+            for a, i, left, j, right in zip(*(c.to_pylist() for c in batch.columns)):
+                own, others = block_sets(a, i, left), block_sets(a, j, right)
+                sizes, near = np.array([len(s) for s in others]), np.array([r["near"] for r in right])
+                for x, s in zip(left, own):
+                    if x["near"] >= limit:
+                        continue
+                    fits = (np.abs(near - x["near"]) <= width) & (np.minimum(sizes, len(s)) * 100 >= np.maximum(sizes, len(s)) * percent)
+                    # a pair of two classes not linked to the centre is compared once
+                    asked = [k for k in np.flatnonzero(fits).tolist() if right[k]["label"] != x["label"] and (near[k] >= limit or x["b"] < right[k]["b"])]
+                    if not asked:
+                        continue
+                    values = np.concatenate([others[k] for k in asked])
+                    at = np.minimum(np.searchsorted(s, values), len(s) - 1)
+                    starts = np.concatenate([[0], np.cumsum(sizes[asked])[:-1]])
+                    common = np.add.reduceat(s[at] == values, starts, dtype=np.int64)
+                    found = set()
+                    for k, n in zip(asked, common.tolist()):
+                        label = right[k]["label"]
+                        if n * 100 >= (len(s) + int(sizes[k]) - n) * percent and label not in found:
+                            found.add(label)  # one link joins the components
+                            links.append((x["b"], right[k]["b"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in links], pa.binary()) for n in (0, 1)], ["a", "b"])
+
+    # all rows of a left block travel: its sets are shared with its turn on the right
+    left = packed.where(F.exists("rows", lambda r: r["near"] < limit)).select("a", F.col("block").alias("block_x"), F.col("rows").alias("rows_x"))
+    both = left.join(packed, "a").select("a", "block_x", "rows_x", "block", "rows")
+    return both.mapInArrow(run, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 4) -> tuple[DataFrame, DataFrame]:
     """Signed rows of `docs` (see `signed`), and class, component_id, keep_place, keep_mark of every non-empty class.
 
@@ -156,16 +218,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     classes = signs.where("class is not null").groupBy("class").agg(own, F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     classes = stage(classes, "minhash-classes")
 
-    banded = classes.select("class", "size", F.explode("bands").alias("bucket"))
+    banded = classes.select("class", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").count().where("count > 1").select("bucket")
     members = stage(banded.join(shared, "bucket"), "minhash-members")
     least = members.groupBy("bucket").agg(F.min("class").alias("a"))
-    members = members.withColumnRenamed("class", "b").join(least, "bucket")
-    fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)  # noqa: E731  of sizes
-    stars = stage(members.where("a <> b").select("a", "b").distinct(), "minhash-pairs")
-
-    # texts of the classes that any pair or bucket has
-    needed = members.select(F.col("b").alias("class")).distinct().join(classes.select("class", "first.place", "first.mark"), "class")
+    stars = members.withColumnRenamed("class", "b").join(least, "bucket").where("a <> b").select("a", "b").distinct()
+    stars = stage(stars, "minhash-pairs")
+    needed = members.select("class").distinct().join(classes.select("class", "first.place", "first.mark"), "class")
     texts = keyed(docs).join(needed, ["place", "mark"]).groupBy("class").agg(F.first("text").alias("text"))
     texts = stage(texts, "minhash-texts")
 
@@ -174,28 +233,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     links = near.where(linked).select("a", "b")
     labels = components(links)
 
-    # what is apart in one bucket after that
-    known = near.select("a", "b", (F.col("common") / F.col("union")).alias("near"))
-    label = labels.select(F.col("node").alias("b"), "label")
-    open_rows = members.where("a <> b").join(known, ["a", "b"]).join(label, "b", "left").withColumn("label", F.coalesce("label", "b"))
-    centre = members.where("a = b").join(label, "b", "left").select("bucket", F.coalesce("label", "b").alias("centre_label"))
-    mixed = open_rows.join(centre, "bucket").where("label <> centre_label").select("bucket").distinct()
-    open_rows = stage(open_rows.join(mixed, "bucket"), "minhash-apart")
-    width = 1 - percent / 100 + 1e-9
-    bin_of = F.floor(F.col("near") / width)
-    named = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("b", "size", "near", "label")]
-    left = open_rows.where(F.col("near") < percent / 100).select("bucket", bin_of.alias("bin"), *named("x"))
-    right = open_rows.select("bucket", F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("bin"), *named("y"))
-    rest = left.join(right, ["bucket", "bin"]).where(
-        (F.col("label_x") != F.col("label_y"))
-        & (F.abs(F.col("near_x") - F.col("near_y")) <= width)
-        & fits(F.col("size_x"), F.col("size_y"))
-        & ((F.col("b_x") < F.col("b_y")) | (F.col("near_y") >= percent / 100))
-    )
-    rest = stage(rest.select(F.greatest("b_x", "b_y").alias("a"), F.least("b_x", "b_y").alias("b")).distinct(), "minhash-rest")
-    if not rest.isEmpty():
-        more = stage(confirmed(rest, texts, words), "minhash-more")
-        labels = components(links.unionByName(more.where(linked).select("a", "b")))
+    more = stage(apart(near, labels, texts, words, percent), "minhash-more")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     labels = stage(labels, "minhash-labels")
     whole = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
