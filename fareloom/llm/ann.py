@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from fareloom.session import stage
 
+from .batches import map_batches
+
 SAMPLE = 8192
 BLOCK = 1024
 PACK = 256
@@ -179,7 +181,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = S
         for at in list(held):
             yield batch(list(full(at, 1)))
 
-    made = stage(vectors.mapInArrow(blocks, "list int, ids binary, vectors binary, n long"), "ann-blocks")
+    made = stage(map_batches(vectors, blocks, "list int, ids binary, vectors binary, n long"), "ann-blocks")
     sizes = np.zeros(len(centre), np.int64)
     for r in made.groupBy("list").agg(F.sum("n").alias("n")).collect():  # at most MOST_LISTS rows
         sizes[r["list"]] = r["n"]
@@ -209,16 +211,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = S
 
         for b in batches:
             found = []
-            for ids, x, query_ids, q in zip(*(c.to_pylist() for c in b.columns)):
+            for row in range(b.num_rows):  # one at a time: a row holds a block of vectors
+                ids, x, query_ids, q = (c[row].as_py() for c in b.columns)
                 shaped = lambda raw: np.frombuffer(raw, np.float64).reshape(-1, width)
                 found += scan(shaped(q), np.frombuffer(query_ids, np.int64), shaped(x), np.frombuffer(ids, np.int64), turn, k)
             columns = zip(*found) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
     asked = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))  # one query per id
-    asked = asked.mapInArrow(packs, "list int, query_ids binary, queries binary")
+    asked = map_batches(asked, packs, "list int, query_ids binary, queries binary")
     pairs = made.join(asked, "list").select("ids", "vectors", "query_ids", "queries")
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
+    found = map_batches(pairs, search, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)

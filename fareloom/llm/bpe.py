@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import map_batches
 from .byte_ids import byte_chars
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -151,7 +152,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "ids", "decoded"])
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")
+    return map_batches(narrow, run, "doc_id long, n_tokens long, ids string, decoded string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

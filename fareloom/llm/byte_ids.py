@@ -38,9 +38,8 @@ class _Chunks(dict):
 class ByteIds:
     """Encoder of one task. `entries` bounds the cache (about 150 bytes each)."""
 
-    def __init__(self, path: str, entries: int = 300_000):
+    def __init__(self, path: str, entries: int = 200_000):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
@@ -50,12 +49,20 @@ class ByteIds:
         self.pieces = {i: b for b, i in ranks.items()}
         self.special = {content: struct.pack("<I", i) for content, i in special.items()}
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.plain = Tokenizer.from_file(path)
-        self.plain.no_truncation()
-        self.plain.no_padding()
+        self.path, self.plain = path, None
         self.chunks = _Chunks(self._encode, entries)
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
 
+    def _tokenizer(self):
+        """The library's own tokenizer, loaded when the first text needs it."""
+        if self.plain is None:
+            from tokenizers import Tokenizer
+
+            self.plain = Tokenizer.from_file(self.path)
+            self.plain.no_truncation()
+            self.plain.no_padding()
+        return self.plain
+
     def _encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -63,7 +70,7 @@ class ByteIds:
         if text.isascii() or max(text) < "ɐ":
             ids = self.fast.encode_ordinary(text)
         else:
-            ids = self.plain.encode(text, add_special_tokens=False).ids
+            ids = self._tokenizer().encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _segment(self, text: str) -> bytes:

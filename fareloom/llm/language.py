@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .batches import map_batches
+
 UNKNOWN = "und"
 #: Labelled documents that are collected to fit the machines, and the labels that are learned.
 SAMPLE = 2400
@@ -176,7 +178,7 @@ def fit(docs: DataFrame, remainder: int = 1) -> Machines | None:
         import pyarrow as pa
 
         features = Features()
-        for b in batches:
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             rows = [(i, k, f) for i, t, k in zip(*(c.to_pylist() for c in b.columns)) if (f := features(t))]
             data = [pa.array([r[n] for r in rows], kind) for n, kind in enumerate((pa.int64(), pa.string()))]
             data.append(pa.array([f[0].astype(np.float16).tobytes() for _, _, f in rows], pa.binary()))
@@ -184,7 +186,7 @@ def fit(docs: DataFrame, remainder: int = 1) -> Machines | None:
             yield pa.RecordBatch.from_arrays(data, ["doc_id", "lang", "features", "letters"])
 
     narrow = sample.select(F.col("doc_id").cast("long"), "text", "lang")
-    rows = narrow.mapInArrow(extract, "doc_id long, lang string, features binary, letters binary").limit(2 * SAMPLE).collect()
+    rows = map_batches(narrow, extract, "doc_id long, lang string, features binary, letters binary").limit(2 * SAMPLE).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.features)))
@@ -207,7 +209,7 @@ def identify(docs: DataFrame, machines: Machines | None) -> DataFrame:
         features, seen = Features(), np.zeros(0x110000, bool)
         if machines:
             seen[machines.letters] = True
-        for b in batches:
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             found = []
             for t in b.column(at).to_pylist():
                 if machines and (f := features(t, seen)):
@@ -218,7 +220,7 @@ def identify(docs: DataFrame, machines: Machines | None) -> DataFrame:
             columns = [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import map_batches
 from .byte_ids import ByteIds
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -164,7 +165,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, en
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-        for b in batches:
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows.extend(packer.add(doc_id, encode(text)))
                 if len(rows) >= 4096:
@@ -172,7 +173,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, en
         rows.extend(packer.flush())
         yield batch()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import map_batches
+
 KINDS = ("assign", "access", "hex", "private_key", "signed_token")
 BASE = KINDS[:3]
 MASK = "[SECRET]"
@@ -136,12 +138,12 @@ def scan(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-        for b in batches:
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             spans = [[dict(zip(("kind", "start", "end"), s)) for s in find(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(kind))], ["doc_id", "spans"])
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "doc_id long, spans array<struct<kind string, start long, end long>>")
+    return map_batches(narrow, run, "doc_id long, spans array<struct<kind string, start long, end long>>")
 
 
 def masked(text: str | None) -> str | None:
@@ -164,11 +166,11 @@ def mask(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             texts = pa.array([masked(t) for t in b.column(at).to_pylist()], b.column(at).type)
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(b.columns)], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import map_batches
+
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -104,7 +106,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), counts, scores], ["doc_id", "n_tokens", "score"])
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "doc_id long, n_tokens long, score double")
+    return map_batches(narrow, run, "doc_id long, n_tokens long, score double")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
