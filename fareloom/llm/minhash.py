@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from fareloom.session import stage
 
+from .batches import map_batches
 from .components import components
 
 PERMUTATIONS = 60
@@ -38,7 +39,7 @@ SEED = 10
 #: Shingles of one text that are hashed at once.
 STRIDE = 4096
 #: Mean number of classes, and of characters, in a block of a group that is compared.
-BLOCK, BLOCK_CHARS = 64, 1 << 22
+BLOCK, BLOCK_CHARS = 64, 1 << 20
 
 
 def shingle_set(text: str | None, words: int):
@@ -102,7 +103,7 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         import pyarrow as pa
 
         permuted = permutations(PERMUTATIONS)
-        for b in batches:
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             sizes, classes, hashes = [], [], []
             for text in b.column(3).to_pylist():
                 s = shingle_set(text, words)
@@ -112,7 +113,7 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             columns = [*b.columns[:3], pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "mark", "size", "class", "bands"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, place long, mark long, size long, class binary, bands array<long>")
+    return map_batches(keyed(docs), run, "doc_id long, place long, mark long, size long, class binary, bands array<long>")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
         import pyarrow as pa
 
         last, last_set = None, None
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             common, union = [], []
             for a, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                 if a != last:  # pairs of one class mostly follow each other
@@ -146,7 +147,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
     of = lambda side: texts.select(F.col("class").alias(side), F.col("text").alias(f"text_{side}"))
     both = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a binary, b binary, common long, union long")
+    return map_batches(both, run, "a binary, b binary, common long, union long")
 
 
 def apart(near: DataFrame, labels: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -166,8 +167,16 @@ def apart(near: DataFrame, labels: DataFrame, texts: DataFrame, words: int, perc
         import numpy as np
         import pyarrow as pa
 
-        width = 1 - limit + 1e-9
+        width, group = 1 - limit + 1e-9, None
         kept: dict = {}
+        joined: dict = {}  # of the group at hand: components that links found in this task have joined
+
+        def root(label):
+            while label in joined:
+                if joined[label] in joined:  # the way gets shorter each time
+                    joined[label] = joined[joined[label]]
+                label = joined[label]
+            return label
 
         def block_sets(a, block, rows):
             if (a, block) not in kept:
@@ -178,7 +187,11 @@ def apart(near: DataFrame, labels: DataFrame, texts: DataFrame, words: int, perc
 
         for batch in batches:
             links = []
-            for a, i, left, j, right in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in range(batch.num_rows):  # one at a time: a row holds two blocks of texts
+                a, i, left, j, right = (c[row].as_py() for c in batch.columns)
+                if a != group:
+                    group = a
+                    joined.clear()
                 own, others = block_sets(a, i, left), block_sets(a, j, right)
                 sizes, near = np.array([len(s) for s in others]), np.array([r["near"] for r in right])
                 for x, s in zip(left, own):
@@ -186,25 +199,24 @@ def apart(near: DataFrame, labels: DataFrame, texts: DataFrame, words: int, perc
                         continue
                     fits = (np.abs(near - x["near"]) <= width) & (np.minimum(sizes, len(s)) * 100 >= np.maximum(sizes, len(s)) * percent)
                     # a pair of two classes not linked to the centre is compared once
-                    asked = [k for k in np.flatnonzero(fits).tolist() if right[k]["label"] != x["label"] and (near[k] >= limit or x["b"] < right[k]["b"])]
+                    asked = [k for k in np.flatnonzero(fits).tolist() if root(right[k]["label"]) != root(x["label"]) and (near[k] >= limit or x["b"] < right[k]["b"])]
                     if not asked:
                         continue
                     values = np.concatenate([others[k] for k in asked])
                     at = np.minimum(np.searchsorted(s, values), len(s) - 1)
                     starts = np.concatenate([[0], np.cumsum(sizes[asked])[:-1]])
                     common = np.add.reduceat(s[at] == values, starts, dtype=np.int64)
-                    found = set()
                     for k, n in zip(asked, common.tolist()):
-                        label = right[k]["label"]
-                        if n * 100 >= (len(s) + int(sizes[k]) - n) * percent and label not in found:
-                            found.add(label)  # one link joins the components
+                        one, other = root(x["label"]), root(right[k]["label"])
+                        if n * 100 >= (len(s) + int(sizes[k]) - n) * percent and one != other:
+                            joined[one] = other  # one link joins the components
                             links.append((x["b"], right[k]["b"]))
             yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in links], pa.binary()) for n in (0, 1)], ["a", "b"])
 
     # all rows of a left block travel: its sets are shared with its turn on the right
     left = packed.where(F.exists("rows", lambda r: r["near"] < limit)).select("a", F.col("block").alias("block_x"), F.col("rows").alias("rows_x"))
     both = left.join(packed, "a").select("a", "block_x", "rows_x", "block", "rows")
-    return both.mapInArrow(run, "a binary, b binary").distinct()
+    return map_batches(both, run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 4) -> tuple[DataFrame, DataFrame]:
