@@ -9,12 +9,19 @@ import time
 
 HEADLINE = (
     "national_index",
+    "route_inflation",
     "contributions",
+    "national_index_outlier_mad",
     "sensitivity",
     "panel_national",
     "route_backtests",
+    "booking_window_panels",
     "batch_report",
+    "potential_duplicates",
+    "source_health",
     "traffic_engine_weights",
+    "ranked_routes",
+    "universe_comparison",
     "news_context",
     "cpi_summary",
     "parse_itineraries",

@@ -81,14 +81,9 @@ def series(
         kept = F.when(F.coalesce(F.col(coverage) >= min_coverage, F.lit(True)), kept)
     points = table.select(*keys, "month_ord", kept.cast("double").alias("value"))
     # One row per key holds its months as a map, bounded by the calendar.
-    whole = W.partitionBy(F.lit(1))
-    packed = points.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("month_ord", "value"))).alias("points"),
-        F.min("month_ord").alias("lo"),
-        F.max("month_ord").alias("hi"),
-    )
-    packed = packed.withColumn("lo", F.min("lo").over(whole)).withColumn("hi", F.max("hi").over(whole))
-    spread = packed.withColumn("month_ord", F.explode(F.sequence("lo", "hi")))
+    packed = points.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("month_ord", "value"))).alias("points"))
+    lo, hi = points.agg(F.min("month_ord")).scalar(), points.agg(F.max("month_ord")).scalar()
+    spread = packed.withColumn("month_ord", F.explode(F.sequence(lo, hi)))
     return spread.select(
         *keys,
         "month_ord",

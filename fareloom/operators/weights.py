@@ -56,9 +56,9 @@ def weights_for_periods(weights: DataFrame, periods: DataFrame) -> DataFrame:
 def normalize(weights: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """weight over the total of the table (or of each `by` group).
 
-    The window spans one row per route, so it is bounded by the square of the airport list.
+    The total of a whole table is a one-row subquery over the weights alone, so wide rows stay where they are.
     """
-    total = F.sum("weight").over(W.partitionBy(*by) if by else W.partitionBy(F.lit(1)))
+    total = F.sum("weight").over(W.partitionBy(*by)) if by else weights.agg(F.sum("weight")).scalar()
     return weights.withColumn("weight_normalized", F.coalesce(F.try_divide(F.col("weight"), total), F.lit(0.0)))
 
 
