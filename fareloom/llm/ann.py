@@ -30,12 +30,12 @@ BLOCK = 1024
 PACK = 256
 #: Bytes of vectors that a task holds before it writes blocks that are not full.
 HELD_BYTES = 64 << 20
-SHARE = 0.25
+SHARE = 0.7
 #: Tables up to this size have one list.
 ONE_LIST = 4096
 MOST_LISTS = 1024
 COLUMNS = 16
-EPSILON = 2.1
+EPSILON = 2.6
 SEED = 20
 
 
