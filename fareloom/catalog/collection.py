@@ -107,14 +107,30 @@ def _stamp(spark, sf):
 )
 def _simple(spark, sf):
     fares = V.fares(spark, sf)
-    simple = fares.select(
+    rows = K.map_simple_observations(_simple_rows(fares))
+    return rows.select("origin", "destination", "airline", "flight_date", "booking_date", rd("total_fare", 2), "currency")
+
+
+def _simple_rows(fares):
+    return fares.select(
         F.concat_ws("-", "origin", "destination").alias("route"),
         F.col("total_fare").alias("fare"),
         F.date_format("flight_date", "yyyy-MM-dd").alias("date"),
         F.lit("real").alias("source"),
     )
-    rows = K.map_simple_observations(simple)
-    return rows.select("origin", "destination", "airline", "flight_date", "booking_date", rd("total_fare", 2), "currency")
+
+
+@query(
+    "simple_observation_ids",
+    f"WITH src AS ({S.fares()}) SELECT origin, destination, 2 * count(*) AS n, 2 * count(*) AS ids FROM src GROUP BY 1, 2",
+)
+def _simple_ids(spark, sf):
+    """Every quote twice: equal rows keep ids of their own."""
+    simple = _simple_rows(V.fares(spark, sf))
+    rows = K.map_simple_observations(simple.unionByName(simple))
+    return rows.groupBy("origin", "destination").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("observation_id").alias("ids")
+    )
 
 
 @query("all_mock", "SELECT bool_and(event_id % 2 = 0) AS all_mock FROM events")
@@ -145,7 +161,7 @@ def _runs(spark, sf):
 
 @query("collection_envelopes", _FILE_SQL)
 def _envelopes(spark, sf):
-    """Round trip through envelope documents, one run per source, split into bounded shards."""
+    """Round trip through the files of envelopes, one run per source."""
     rows = V.fares_dirty(spark, sf).withColumn("run_id", F.concat(F.lit("run_"), "source"))
     names = ("source", "routes_requested", "routes_successful", "routes_failed", "routes_attempted")
     per_source = rows.groupBy("run_id", "source").agg(F.collect_set(F.concat_ws("-", "origin", "destination")).alias("r"))
@@ -157,8 +173,8 @@ def _envelopes(spark, sf):
     report = per_source.select("run_id", F.lit("batch").alias("mode"), F.array(summary).alias("source_summaries"))
     assert tuple(f.name for f in report.schema["source_summaries"].dataType.elementType) == names
     target = folder(spark, "envelopes")
-    landed.write_envelopes(landed.collection_envelopes(report, rows, shard_rows=5000), target)
-    return _file_summary(landed.load_json_observations(spark, target))
+    landed.write_envelopes(report, rows, target)
+    return _file_summary(landed.read_envelopes(spark, target)["observations"])
 
 
 @query(

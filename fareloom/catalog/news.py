@@ -143,6 +143,31 @@ def _context(spark, sf):
     )
 
 
+_ROSTER = V.CARRIERS[:2]
+_FLIES = f"list_has_any(related_airlines, {S.array(_ROSTER)})"
+_ROSTER_MATCH = _MATCH.replace(
+    "CASE WHEN nl > 0 THEN 0.5 ELSE 0 END", f"CASE WHEN nl = 0 THEN 0 WHEN o >= d THEN 0.5 WHEN {_FLIES} THEN 1 ELSE 0.25 END"
+).replace(
+    "CASE WHEN nl > 0 THEN 'airline:mentioned' END",
+    f"CASE WHEN nl > 0 THEN CASE WHEN o >= d THEN 'airline:mentioned' WHEN {_FLIES} THEN 'airline:operates_route' ELSE 'airline:unrelated' END END",
+)
+
+
+@query(
+    "news_context_roster",
+    S.index_ctes()
+    + f", {_MOVES}, {_ARTS}, {_ROSTER_MATCH} SELECT route, period, rank, url, event_type, score + 0.0 AS relevance_score, signals FROM ranked",
+)
+def _roster(spark, sf):
+    """Two carriers are known for routes in alphabetical order; of the others the roster is unknown."""
+    known = F.when(F.col("origin") < F.col("destination"), F.array(*[F.lit(c) for c in _ROSTER]))
+    rows = news.rank_articles(moves(spark, sf).withColumn("airlines_on_route", known), articles(spark, sf))
+    return rows.select(
+        "route", "period", F.col("rank").cast("long").alias("rank"), "url", "event_type", "relevance_score",
+        F.array_join("matched_signals", ",").alias("signals"),
+    )
+
+
 @query(
     "potential_factors",
     _CONTEXT
@@ -207,14 +232,16 @@ _FEED_KEPT = "doc_id % 7 <> 0 AND doc_id % 11 <> 0"
 
 @query(
     "parse_feed_a",
-    f"""WITH a AS ({S.ARTICLES}) SELECT url, headline, strftime(published_at, '%Y-%m-%d') AS day, source, {_event_sql('headline')} AS event_type
+    f"""WITH a AS (SELECT * REPLACE (regexp_replace(body, '\\s+', ' ', 'g') AS headline) FROM ({S.ARTICLES}))
+    SELECT url, headline, strftime(published_at, '%Y-%m-%d') AS day, source, {_event_sql('headline')} AS event_type
     FROM a WHERE {_FEED_KEPT} AND length(headline) > 0""",
 )
 def _feed_a(spark, sf):
+    """This feed has no text beside its title, so the whole text stands there and is classified."""
     doc = F.col("doc_id")
     raw = _feed(spark, sf, "articles", {
         "url": F.when(doc % 7 == 0, F.lit("not a url")).otherwise(F.col("url")),
-        "title": F.col("headline"),
+        "title": F.regexp_replace("body", r"\s+", " "),
         "seendate": F.when(doc % 11 == 0, "yesterday").otherwise(F.date_format("published_at", "yyyyMMddHHmmss")),
         "domain": F.col("source"),
     })

@@ -106,7 +106,7 @@ CALLS = f"""SELECT event_id AS call_id, 'source_' || (user_id % 5) AS source,
     WHEN 'view' THEN 'TIMEOUT' ELSE 'RATE_LIMITED' END AS status,
   CASE WHEN event_type = 'purchase' THEN event_id % 4 + 1 ELSE 0 END AS n_observations, ts AS called_at FROM events"""
 
-ARTICLES = f"""SELECT substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 80) AS headline, source,
+ARTICLES = f"""SELECT regexp_replace(split_part(text, '.', 1), '\\s+', ' ', 'g') AS headline, source,
   TIMESTAMP '1998-01-01 00:00:00' + to_days(CAST(doc_id % 700 AS INTEGER)) AS published_at,
   'https://news.example.org/a/' || (doc_id // 2) AS url,
   CASE WHEN doc_id % 3 <> 0 THEN [{array(REGION_CODES)}[doc_id % 5 + 1]] ELSE [] END AS related_airports,
@@ -187,27 +187,27 @@ lim AS ({_LIMITS[outlier].format(k=k)}),
 flagged AS (SELECT u.*, coalesce({flag}, false) AS is_outlier FROM uniq u LEFT JOIN lim l ON {on}),
 kept AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY fare) AS rn, count(*) OVER (PARTITION BY {k}) AS n
   FROM flagged WHERE NOT is_outlier),
-facts AS (SELECT {k}, {_REPRESENTATIVE[rep]} AS fare, count(*) AS n, count(*) >= 3 AS ok_n, avg(fare) AS mean,
+facts AS MATERIALIZED (SELECT {k}, {_REPRESENTATIVE[rep]} AS fare, count(*) AS n, count(*) >= 3 AS ok_n, avg(fare) AS mean,
   stddev_samp(fare) AS sd FROM kept GROUP BY {k}),
 w AS (SELECT *, weight / sum(weight) {over} AS wn FROM ({weight_rows})),
 universe AS (SELECT DISTINCT {p}route FROM facts UNION SELECT {p}route FROM w),
 months AS (SELECT unnest(generate_series(min(month_ord) - 12, max(month_ord))) AS month_ord FROM uniq),
 spine AS (SELECT universe.*, month_ord FROM universe, months),
-routes0 AS (SELECT a.*, b.fare AS base_fare, f.fare, coalesce(f.n, 0) AS n, f.mean, f.sd, w.weight, w.wn,
+routes0 AS MATERIALIZED (SELECT a.*, b.fare AS base_fare, f.fare, coalesce(f.n, 0) AS n, f.mean, f.sd, w.weight, w.wn,
   CASE WHEN b.route IS NULL AND f.route IS NULL THEN 'NO_BASE_DATA' WHEN b.route IS NULL THEN 'NEW_ROUTE'
     WHEN NOT b.ok_n OR b.fare IS NULL OR b.fare = 0 THEN 'INSUFFICIENT_DATA' WHEN f.route IS NULL THEN 'DISCONTINUED'
     WHEN NOT f.ok_n THEN 'INSUFFICIENT_DATA' ELSE 'OK' END AS status
   FROM spine a LEFT JOIN facts b ON {use("b")}a.route = b.route AND b.month_ord = {BASE_ORD}
   LEFT JOIN facts f ON {use("f")}a.route = f.route AND a.month_ord = f.month_ord
   LEFT JOIN w ON {use("w")}a.route = w.route),
-routes1 AS (SELECT *, CASE WHEN status = 'OK' THEN 100.0 * fare / base_fare END AS idx FROM routes0),
-routes AS (SELECT a.*, {period("a.month_ord")} AS period, p.idx AS idx1, y.idx AS idx12,
+routes1 AS MATERIALIZED (SELECT *, CASE WHEN status = 'OK' THEN 100.0 * fare / base_fare END AS idx FROM routes0),
+routes AS MATERIALIZED (SELECT a.*, {period("a.month_ord")} AS period, p.idx AS idx1, y.idx AS idx12,
   a.idx IS NOT NULL AND coalesce(a.wn, 0) <> 0 AS use FROM routes1 a
   LEFT JOIN routes1 p ON {use("p")}a.route = p.route AND p.month_ord = a.month_ord - 1
   LEFT JOIN routes1 y ON {use("y")}a.route = y.route AND y.month_ord = a.month_ord - 12),
 contrib AS (SELECT *, coalesce(coalesce(wn, 0) / nullif(sum(CASE WHEN use THEN wn END) OVER (PARTITION BY {p}month_ord), 0), 0)
   AS cw FROM routes),
-inflation AS (SELECT *, cw * (idx - idx1) AS points, (idx / nullif(idx1, 0) - 1) * 100 AS mom,
+inflation AS MATERIALIZED (SELECT *, cw * (idx - idx1) AS points, (idx / nullif(idx1, 0) - 1) * 100 AS mom,
   (idx / nullif(idx12, 0) - 1) * 100 AS yoy, CASE WHEN n >= 3 THEN sd / nullif(mean, 0) END AS cv FROM contrib),
 national0 AS (SELECT {p}month_ord, {period("month_ord")} AS period, {value} AS idx,
   count(*) FILTER (WHERE status = 'OK') AS routes_covered, count(*) AS routes_total,

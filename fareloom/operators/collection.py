@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..constants import HORIZON_BUCKETS, REQUIRED_COLUMNS, RETRYABLE_STATUSES
 from ..functions import columns as C
 
+COPIES_PER_BLOCK = 10_000
+
 
 def sample_offsets() -> list[int]:
     """One day offset per horizon bucket: its middle, an open bucket's first day, at least 1."""
@@ -47,10 +49,21 @@ def stamp_provenance(df: DataFrame, run_id: str, scraped_at: str) -> DataFrame:
 
 
 def map_simple_observations(df: DataFrame) -> DataFrame:
-    """(route, fare, date, source) rows as full observations; booking day = flight day."""
+    """(route, fare, date, source) rows as full observations; booking day = flight day.
+
+    Every row has its own id. Rows have no order, so equal rows are counted and numbered; the numbers
+    are dealt in blocks, so that a row repeated very often is never one large array.
+    """
     ends = F.split("route", "-", 2)
-    return df.select(
-        F.concat_ws("-", F.lit("simple"), F.xxhash64(*df.columns).cast("string"), "route", "date").alias("observation_id"),
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / COPIES_PER_BLOCK))
+    blocked = counted.withColumn("_block", F.explode(blocks))
+    first = F.col("_block") * COPIES_PER_BLOCK
+    last = F.least(F.col("_copies"), first + COPIES_PER_BLOCK) - 1
+    numbered = blocked.withColumn("_copy", F.explode(F.sequence(first, last)))
+    content = F.xxhash64(F.to_json(F.struct(*df.columns))).cast("string")
+    return numbered.select(
+        F.concat_ws("-", F.lit("simple"), content, "route", "date", F.col("_copy").cast("string")).alias("observation_id"),
         F.lit("UNKNOWN").alias("airline"),
         ends[0].alias("origin"),
         ends[1].alias("destination"),

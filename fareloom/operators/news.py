@@ -137,12 +137,13 @@ def score(pairs: DataFrame, config: MatchingConfig) -> DataFrame:
     )
 
 
-def _general_score(config: MatchingConfig, has_roster: bool) -> Column:
+def _general_score(config: MatchingConfig, roster_known: Column) -> Column:
     """Score of an article for a movement it names neither by place, route nor carrier."""
+    named = F.when(roster_known, 0.25).otherwise(0.5)
     return _total(
         [
             (config.weight_date, _date_score(config)),
-            (config.weight_airline, F.when(F.size("t_airlines") > 0, 0.25 if has_roster else 0.5).otherwise(0.0)),
+            (config.weight_airline, F.when(F.size("t_airlines") > 0, named).otherwise(0.0)),
             (config.weight_event, event_score(F.col("event_type"))),
             (config.weight_geography, F.when(F.size("t_airports") == 0, 0.5).otherwise(0.0)),
         ]
@@ -153,22 +154,31 @@ def rank_articles(moves: DataFrame, articles: DataFrame, config: MatchingConfig
     """The top articles of every movement, best first; ties go to the newer, then by address.
 
     Not every (movement, article) pair is formed. An article that names neither the airports, the
-    route nor a carrier of a movement scores the same for all movements of a date, and naming one
-    only raises the score; so the best `top_n` by that general score per date, plus the articles
-    that meet a movement on a shared tag, contain every movement's top list.
+    route nor a carrier of a movement scores the same for all movements of a date whose roster is
+    known, and for all whose roster is null; naming one only raises the score. So the best `top_n`
+    by that general score per date and class, plus the articles that meet a movement on a shared
+    tag, contain every movement's top list.
     """
     has_roster = "airlines_on_route" in moves.columns
     # Both are read by several branches: movements (one row per route and month) and the candidates.
     moves = stage(moves, "movements")
     nearby = first_by_url(in_window(moves, with_article_columns(articles), config.date_window_days))
     nearby = stage(nearby, "nearby-articles")
-    tagged = _tidied(nearby).withColumn("general", _general_score(config, has_roster))
+    tagged = _tidied(nearby)
 
-    order = W.partitionBy("as_of").orderBy(F.desc("general"), F.desc("published_at"), "url")
-    best = tagged.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= config.top_n)
+    classes = F.array(F.lit(False), F.lit(True)) if has_roster else F.array(F.lit(False))
+    judged = tagged.withColumn("roster_known", F.explode(classes))
+    judged = judged.withColumn("general", _general_score(config, F.col("roster_known")))
+    order = W.partitionBy("as_of", "roster_known").orderBy(F.desc("general"), F.desc("published_at"), "url")
+    best = judged.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= config.top_n)
     best = best.filter(F.col("general") >= config.min_relevance)
     article_side = ["as_of", "url", *[c for c in ARTICLE_COLUMNS if c != "url"]]
-    general = moves.join(best.select(*article_side), "as_of")
+    known = F.col("airlines_on_route").isNotNull() if has_roster else F.lit(False)
+    general = (
+        moves.withColumn("roster_known", known)
+        .join(best.select("roster_known", *article_side), ["as_of", "roster_known"])
+        .drop("roster_known")
+    )
 
     def tags(prefix: str, values: Column) -> Column:
         return F.transform(values, lambda x: F.concat(F.lit(prefix), x))

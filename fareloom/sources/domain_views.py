@@ -191,7 +191,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = pick(REGION_CODES, doc % 5), pick(REGION_CODES, F.floor(doc / 5) % 5)
     tagged = doc % 3 != 0
     none = F.array().cast("array<string>")
-    headline = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 80)
+    headline = F.regexp_replace(F.substring_index("text", ".", 1), r"\s+", " ")  # the first sentence
     return table(spark, sf_dir, "documents").select(
         headline.alias("headline"),
         F.col("source"),

@@ -7,13 +7,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..constants import MONTH_NAMES
 from ..functions import columns as C
 from . import schemas
 
 ENVELOPE_VERSION = "1.0"
-SHARD_ROWS = 20_000
 
 
 # --- Observations ------------------------------------------------------------------------------
@@ -45,52 +45,48 @@ def write_run(df: DataFrame, base: str, run_id: str, stage: str = "raw") -> str:
 
 
 def collection_envelopes(
-    report: DataFrame, observations: DataFrame, attempts: DataFrame | None = None, shard_rows: int = SHARD_ROWS
-) -> DataFrame:
-    """Envelope records: metadata, attempts and observations of a run.
+    report: DataFrame, observations: DataFrame, attempts: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Envelopes of runs as three tables keyed by `run_id`: metadata, route attempts, observations.
 
-    A run of up to `shard_rows` observations is one record. A larger one becomes several records
-    with the same metadata, so no task ever gathers a whole run; readers see the union.
+    The layout is the same for every run, whatever its size: one metadata record per run, one record
+    per attempt and per observation, so no task gathers a run. Without `attempts` the summaries of
+    the report stand in for them. An observation of a run without a report is left out.
     """
-    sizes = observations.groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"))
-    shards = report.join(sizes, "run_id", "left").withColumn(
-        "shards", F.greatest(F.lit(1), F.ceil(F.coalesce("rows", F.lit(0)) / shard_rows)).cast("int")
-    )
-    spread = observations.join(shards.select("run_id", "shards"), "run_id")
-    fields = [f.name for f in schemas.OBSERVATION if f.name in observations.columns]
-    shard = F.pmod(F.xxhash64(*fields), F.col("shards")).cast("int")
-    packed = (
-        spread.withColumn("shard", shard)
-        .groupBy("run_id", "shard")
-        .agg(F.collect_list(F.struct(*fields)).alias("observations"))
-    )
     if attempts is None:
-        names = [f.name for f in schemas.ATTEMPT]
-        per_run = report.select(
-            "run_id",
-            F.transform("source_summaries", lambda s: F.struct(*[s[n].alias(n) for n in names])).alias("route_attempts"),
-        )
-    else:
-        names = [f.name for f in schemas.ATTEMPT if f.name in attempts.columns]
-        per_run = attempts.groupBy("run_id").agg(F.collect_list(F.struct(*names)).alias("route_attempts"))
-    heads = shards.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    metadata = F.struct(*[c for c in report.columns])
-    return (
-        heads.join(per_run, "run_id", "left")
-        .join(packed, ["run_id", "shard"], "left")
-        .select(
-            "run_id",
-            F.lit(ENVELOPE_VERSION).alias("schema_version"),
-            metadata.alias("collection_metadata"),
-            "route_attempts",
-            F.coalesce("observations", F.array()).alias("observations"),
-        )
+        listed = report.select("run_id", F.explode("source_summaries").alias("s"))
+        attempts = listed.select("run_id", *[F.col("s")[f.name].alias(f.name) for f in schemas.ATTEMPT])
+    kept = {"route_attempts": (attempts, schemas.ATTEMPT), "observations": (observations, schemas.OBSERVATION)}
+    head = report.select(
+        "run_id", F.lit(ENVELOPE_VERSION).alias("schema_version"), F.struct(*report.columns).alias("collection_metadata")
     )
+    tables = {"metadata": head}
+    for name, (rows, schema) in kept.items():
+        fields = [f.name for f in schema if f.name in rows.columns and f.name != "run_id"]
+        tables[name] = rows.select("run_id", *fields).join(report.select("run_id"), "run_id", "left_semi")
+    return tables
+
+
+def write_envelopes(
+    report: DataFrame, observations: DataFrame, path: str, attempts: DataFrame | None = None
+) -> None:
+    """JSON lines of each table of `collection_envelopes` in a folder of its own; existing ones are an error."""
+    for name, rows in collection_envelopes(report, observations, attempts).items():
+        rows.write.mode("errorifexists").json(f"{path.rstrip('/')}/{name}")
+
+
+def read_envelopes(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that `write_envelopes` wrote."""
+    base = path.rstrip("/")
 
+    def keyed(schema: StructType) -> StructType:
+        return StructType([StructField("run_id", StringType()), *[f for f in schema if f.name != "run_id"]])
 
-def write_envelopes(envelopes: DataFrame, path: str) -> None:
-    """One document per file, as the reader expects."""
-    envelopes.drop("run_id").write.mode("errorifexists").option("maxRecordsPerFile", 1).json(path)
+    return {
+        "metadata": spark.read.json(f"{base}/metadata"),
+        "route_attempts": spark.read.schema(keyed(schemas.ATTEMPT)).json(f"{base}/route_attempts"),
+        "observations": spark.read.schema(keyed(schemas.OBSERVATION)).json(f"{base}/observations"),
+    }
 
 
 # --- Other tables ------------------------------------------------------------------------------
