@@ -117,6 +117,44 @@ def test_ranked_articles_equal_all_pairs(spark):
     assert "route" in next(r for r in got.collect() if r["route"] == "DEL-BOM" and r["url"].endswith("4"))["matched_signals"]
 
 
+@pytest.mark.parametrize("top_n", [1, 3])
+def test_ranked_articles_with_known_and_null_rosters(spark, top_n):
+    rows = [("DEL-BOM", "DEL", "BOM", None), ("BLR-CCU", "BLR", "CCU", ["x"]), ("GOI-PNQ", "GOI", "PNQ", ["Y"])]
+    moves = spark.createDataFrame(
+        rows, "route string, origin string, destination string, airlines_on_route array<string>"
+    ).withColumns({"change_pct": F.lit(9.0), "direction": F.lit("increase"), "metric": F.lit("mom"), "period": F.lit("2026-01"),
+                   "as_of": F.to_timestamp(F.lit("2026-01-31"))})
+    config = MatchingConfig(top_n=top_n, min_relevance=0.1)
+    got = news.rank_articles(moves, _articles(spark), config).collect()
+    near = news.first_by_url(news.in_window(moves, news.with_article_columns(_articles(spark)), 10))
+    pairs = news.score(moves.join(near, "as_of"), config).filter("relevance_score >= 0.1").collect()
+    brute = []
+    for route in [r[0] for r in rows]:
+        mine = sorted((r for r in pairs if r["route"] == route), key=lambda r: (-r["relevance_score"], -r["published_at"].timestamp(), r["url"]))
+        brute += [(route, i + 1, r["url"], r["relevance_score"]) for i, r in enumerate(mine[:top_n])]
+    assert sorted((r["route"], r["rank"], r["url"], r["relevance_score"]) for r in got) == sorted(brute)
+
+
+def test_equal_simple_rows_keep_ids_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(collection, "COPIES_PER_BLOCK", 2)
+    rows = [("DEL-BOM", 10.0, "2026-01-01", "s")] * 5 + [("DEL-BOM", None, "2026-01-01", "s"), (None, 10.0, None, "s")]
+    simple = spark.createDataFrame(rows, "route string, fare double, date string, source string")
+    got = [r["observation_id"] for r in collection.map_simple_observations(simple).collect()]
+    assert len(got) == len(set(got)) == 7
+
+
+def test_envelopes_come_back_whole(spark, tmp_path):
+    report = spark.sql("""SELECT 'r1' AS run_id, 'batch' AS mode, array(named_struct('source', 's', 'routes_requested', 2L,
+        'routes_successful', 1L, 'routes_failed', 1L, 'routes_attempted', array('DEL-BOM', 'DEL-MAA'))) AS source_summaries""")
+    rows = quote_rows(spark, [("a", "X", "DEL", "BOM", "2026-02-01", "2026-01-01", 5.0, "INR", "r1")] * 3
+                      + [("b", "X", "DEL", "BOM", "2026-02-01", "2026-01-01", 5.0, "INR", "other")], "run_id string")
+    landed.write_envelopes(report, rows, f"{tmp_path}/e")
+    back = landed.read_envelopes(spark, f"{tmp_path}/e")
+    assert [r["run_id"] for r in back["observations"].collect()] == ["r1"] * 3
+    assert back["metadata"].first()["collection_metadata"]["mode"] == "batch"
+    assert back["route_attempts"].first()["routes_requested"] == 2
+
+
 def test_payload_statuses(spark):
     texts = ["<html>", "[1]", '{"error":"x"}', "{}", '{"best_flights":{}}', '{"best_flights":[{"price":1}]}',
              '{"best_flights":[{"flights":[{"airline":"A","departure_airport":{"time":"2026-01-02 10:00"}}],"price":12.5}],"other_flights":[{}]}']
