@@ -2,14 +2,16 @@
 
 Centres are fitted on the driver from a bounded sample (`SAMPLE` vectors); every row is assigned to its nearest
 centre and written into blocks of at most `BLOCK` vectors of one list, so a list of any size is many rows. A query
-probes the nearest lists until they hold `SHARE` of all vectors (and enough to fill its answer). Blocks and packs of
-queries of one list meet in an equi-join on the list; each pair of a block and a pack is one bounded piece of work.
+opens with the nearest lists, until they hold `OPENING` of all vectors (and enough to fill its answer); the score of
+the last of its k nearest there is the radius with which it probes the next lists, until all hold `SHARE`. Blocks and
+packs of queries of one list meet in an equi-join on the list; each pair of a block and a pack is one bounded piece
+of work, and beyond the opening only candidates within the radius leave it.
 
 Inside, vectors are unit vectors turned by a fixed random rotation, cut into blocks of `COLUMNS` dimensions. After d
-of D dimensions a candidate is abandoned when its partial squared distance exceeds what, at the usual deviation of a
-random projection, a candidate within the current radius t could have: t * d / D * (1 + EPSILON / sqrt(d))^2. The
-radius comes from exact distances of the candidates nearest in the first columns. What is left is scored exactly, in
-double precision on the original vectors.
+of D dimensions a candidate is abandoned when its partial squared distance exceeds the radius t itself or what, at
+the usual deviation of a random projection, a candidate within t could have: t * d / D * (1 + EPSILON / sqrt(d))^2.
+In the opening the radius comes from exact distances of the candidates nearest in the first columns. What is left is
+scored exactly, in double precision on the original vectors.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without id or, if
 lengths differ, those of other than the most frequent length. Rows that repeat an id count once per answer, with
@@ -30,7 +32,9 @@ BLOCK = 1024
 PACK = 256
 #: Bytes of vectors that a task holds before it writes blocks that are not full.
 HELD_BYTES = 64 << 20
-SHARE = 0.7
+#: Pairs of vectors that are scored at once.
+PAIRS = 1 << 14
+OPENING, SHARE = 0.05, 0.7
 #: Tables up to this size have one list.
 ONE_LIST = 4096
 MOST_LISTS = 1024
@@ -80,45 +84,64 @@ def vectors_of(column):
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def scan(queries, query_ids, vectors, ids, turn, k: int):
-    """For each query its k nearest of a block: (query id, id, score)."""
+def scan(queries, query_ids, least, vectors, ids, turn, k: int):
+    """For each query its k nearest of a block with a score of `least` or more: query ids, ids and scores.
+
+    A query with `least` under -1 has no radius yet and takes one from the block.
+    """
     import numpy as np
 
     width = vectors.shape[1]
     x, q = (unit(vectors) @ turn).astype(np.float32), (unit(queries) @ turn).astype(np.float32)
     steps = [(low, min(low + COLUMNS, width)) for low in range(0, width, COLUMNS)]
-    low, high = steps[0]
-    first = (q[:, low:high] ** 2).sum(1)[:, None] + (x[:, low:high] ** 2).sum(1)[None] - 2 * q[:, low:high] @ x[:, low:high].T
-    largest = np.abs(vectors).max(axis=1)
-    scaled = vectors / largest[:, None]
-    norms = np.sqrt((scaled * scaled).sum(axis=1))
-    found = []
-    for i in range(len(q)):
-        others = np.flatnonzero(ids != query_ids[i])
-        if not len(others):
-            continue
-        partial = first[i, others]
-        near = others[np.argpartition(partial, k - 1)[:k]] if len(others) > k else others
-        radius = ((x[near] - q[i]) ** 2).sum(axis=1).max() + 1e-5
-        alive = others
-        for n, (low, high) in enumerate(steps):
-            if n:
-                d = x[alive, low:high] - q[i, low:high]
-                partial = partial + (d * d).sum(axis=1)
-            bound = radius if high == width else radius * high / width * (1 + EPSILON / high**0.5) ** 2
-            keep = partial <= bound
-            alive, partial = alive[keep], partial[keep]
-        alive = np.union1d(alive, near)
-        own = queries[i] / np.abs(queries[i]).max()
-        scores = (scaled[alive] * own).sum(axis=1) / (norms[alive] * np.sqrt((own * own).sum()))
-        seen = set()
-        for j in np.lexsort((ids[alive], -scores)):
-            if (v := int(ids[alive[j]])) not in seen:
-                seen.add(v)
-                found.append((int(query_ids[i]), v, float(scores[j])))
-                if len(seen) == k:
-                    break
-    return found
+
+    def distances(low, high):
+        a, b = q[:, low:high], x[:, low:high]
+        return (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
+
+    alive = ids[None] != query_ids[:, None]
+    partial = distances(*steps[0])
+    radius = 2 - 2 * least
+    distinct = np.unique(ids, return_index=True)[1]  # one row per id, or repeats would shrink the radius
+    open_ones = np.flatnonzero(least < -1)
+    if len(open_ones) and len(distinct) > k:
+        first = np.where(alive, partial, np.inf)[np.ix_(open_ones, distinct)]
+        near = distinct[np.argpartition(first, k - 1, axis=1)[:, :k]]
+        exact = ((x[near] - q[open_ones, None]) ** 2).sum(axis=2)
+        exact[ids[near] == query_ids[open_ones, None]] = 4  # the query's own row: no bound
+        radius[open_ones] = exact.max(axis=1)
+    radius = (radius + 1e-5).astype(np.float32)
+    for n, (low, high) in enumerate(steps):
+        if n and np.count_nonzero(alive) * 8 > alive.size:
+            partial += distances(low, high)
+        elif n:
+            i, j = np.nonzero(alive)
+            d = x[j, low:high] - q[i, low:high]
+            partial[i, j] += (d * d).sum(axis=1)
+        share = high / width
+        bound = radius if high == width else radius * min(1.0, share * (1 + EPSILON / high**0.5) ** 2)
+        alive &= partial <= bound[:, None]
+
+    i, j = np.nonzero(alive)
+    x, q = (m / np.abs(m).max(axis=1, keepdims=True) for m in (vectors, queries))
+    x_norm, q_norm = (np.sqrt((m * m).sum(axis=1)) for m in (x, q))
+    parts = [slice(at, at + PAIRS) for at in range(0, len(i), PAIRS)]
+    products = [(x[j[part]] * q[i[part]]).sum(axis=1) for part in parts]
+    scores = np.concatenate(products) / (x_norm[j] * q_norm[i]) if parts else np.empty(0)
+    kept = scores >= least[i]
+    i, found, scores = i[kept], ids[j[kept]], scores[kept]
+
+    def sorted_by(*keys):
+        order = np.lexsort(keys)
+        return i[order], found[order], scores[order]
+
+    i, found, scores = sorted_by(-scores, found, i)
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1]) | (found[1:] != found[:-1])  # an id counts once, with its best score
+    i, found, scores = i[new], found[new], scores[new]
+    i, found, scores = sorted_by(found, -scores, i)
+    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return query_ids[i[top]], found[top], scores[top]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
@@ -185,47 +208,59 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = S
     sizes = np.zeros(len(centre), np.int64)
     for r in made.groupBy("list").agg(F.sum("n").alias("n")).collect():  # at most MOST_LISTS rows
         sizes[r["list"]] = r["n"]
-    wanted = min(total, max(share * total, 2 * k + 2)) if len(centre) > 1 else total
-
-    def packs(batches):
-        """Rows of one list each: ids and vectors of at most PACK queries that probe it."""
-        import pyarrow as pa
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, x = b.column(0).to_numpy(), vectors_of(b.column(1))
-            order = np.argsort(-(unit(x) @ centre.T), axis=1, kind="stable")
-            before = np.cumsum(sizes[order], axis=1) - sizes[order]
-            probed = np.zeros(order.shape, bool)
-            np.put_along_axis(probed, order, before < wanted, axis=1)
-            out = []
-            for at in np.flatnonzero(sizes):
-                own = np.flatnonzero(probed[:, at])
-                for part in (own[i : i + PACK] for i in range(0, len(own), PACK)):
-                    out.append((int(at), ids[part].tobytes(), x[part].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["list", "query_ids", "queries"])
-
-    def search(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            found = []
-            for row in range(b.num_rows):  # one at a time: a row holds a block of vectors
-                ids, x, query_ids, q = (c[row].as_py() for c in b.columns)
-                shaped = lambda raw: np.frombuffer(raw, np.float64).reshape(-1, width)
-                found += scan(shaped(q), np.frombuffer(query_ids, np.int64), shaped(x), np.frombuffer(ids, np.int64), turn, k)
-            columns = zip(*found) if found else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+    most = min(total, max(share * total, 2 * k + 2)) if len(centre) > 1 else total
+    opening = min(most, max(OPENING * total, 2 * k + 2)) if len(centre) > 1 else total
+
+    def probing(asked: DataFrame, low: float, high: float) -> DataFrame:
+        """Partial results of `asked` (vec_id, embedding, least) in the lists that follow `low` nearer vectors, up to `high`."""
+
+        def packs(batches):
+            """Rows of one list each: ids, vectors and least scores of at most PACK queries that probe it."""
+            import pyarrow as pa
+
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                ids, x, least = b.column(0).to_numpy(), vectors_of(b.column(1)), b.column(2).to_numpy()
+                order = np.argsort(-(unit(x) @ centre.T), axis=1, kind="stable")
+                before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                probed = np.zeros(order.shape, bool)
+                np.put_along_axis(probed, order, (before >= low) & (before < high), axis=1)
+                out = []
+                for at in np.flatnonzero(sizes):
+                    own = np.flatnonzero(probed[:, at])
+                    for part in (own[i : i + PACK] for i in range(0, len(own), PACK)):
+                        out.append((int(at), ids[part].tobytes(), x[part].tobytes(), least[part].tobytes()))
+                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["list", "query_ids", "queries", "least"])
+
+        def search(batches):
+            import pyarrow as pa
+
+            shaped = lambda raw: np.frombuffer(raw, np.float64).reshape(-1, width)
+            for b in batches:
+                for row in range(b.num_rows):  # one at a time: a row holds a block of vectors
+                    ids, x, query_ids, q, least = (c[row].as_py() for c in b.columns)
+                    found = scan(shaped(q), np.frombuffer(query_ids, np.int64), np.frombuffer(least, np.float64), shaped(x), np.frombuffer(ids, np.int64), turn, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
+
+        packed = map_batches(asked, packs, "list int, query_ids binary, queries binary, least binary")
+        pairs = made.join(packed, "list").select("ids", "vectors", "query_ids", "queries", "least")
+        return map_batches(pairs, search, "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return best.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     asked = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))  # one query per id
-    asked = map_batches(asked, packs, "list int, query_ids binary, queries binary")
-    pairs = made.join(asked, "list").select("ids", "vectors", "query_ids", "queries")
-    found = map_batches(pairs, search, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    first = ranked(probing(asked.withColumn("least", F.lit(-2.0)), 0, opening))
+    if opening >= most:
+        return first
+    first = stage(first, "ann-opening")
+    radius = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    nearer = asked.join(radius, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+    return ranked(first.drop("rank").unionByName(probing(nearer, opening, most)))
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,24 @@ def test_neighbours(spark, monkeypatch, one_list):
             assert s == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)), abs=1e-12)
 
 
+def test_scan_with_repeated_ids_and_radius():
+    draw = np.random.default_rng(3)
+    x = np.concatenate([draw.standard_normal((300, 40)), np.repeat(draw.standard_normal((1, 40)), 50, axis=0)])
+    ids = np.concatenate([np.repeat(np.arange(100), 3), np.full(30, 7), np.arange(200, 220)])
+    asked, query_ids = x[[0, 299, 310, 349]], np.array([0, 99, 7, 1000])
+    scores = (asked @ x.T) / np.sqrt((x * x).sum(1)) / np.sqrt((asked * asked).sum(1))[:, None]
+    for least in (-2.0, 0.4):
+        got = list(zip(*(c.tolist() for c in ann.scan(asked, query_ids, np.full(4, least), x, ids, ann.rotation(40), 5))))
+        want = []
+        for q, row in zip(query_ids.tolist(), scores):
+            best = {}
+            for v, s in zip(ids.tolist(), row):
+                if v != q and s >= least:
+                    best[v] = max(best.get(v, -2), s)
+            want += [(q, v, s) for v, s in sorted(best.items(), key=lambda t: (-round(t[1], 12), t[0]))[:5]]
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-12)
+
+
 def test_neighbours_of_odd_tables(spark):
     same = [1.0, 2.0, 3.0]
     rows = [(i, same) for i in range(1, 9)] + [(0, [2.0, 4.0, 6.0]), (0, [2.0, 4.0, 6.0]), (20, None), (21, [0.0, 0.0, 0.0]), (22, [1.0, None, 2.0]), (23, [float("nan"), 1.0, 1.0]), (24, [float("inf"), 1.0, 1.0]), (25, []), (26, [1.0]), (None, same), (50, [-1e300, 1e300, 1e300])]
