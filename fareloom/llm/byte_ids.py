@@ -10,6 +10,8 @@ import struct
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space between two characters that are no white space: no token crosses it leftwards.
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Where no two white characters are neighbours, every space inside a text is a lone one.
+WHITE_RUN = re.compile(r"\s\s")
 #: Longer chunks are encoded without being kept.
 CACHED_CHARS = 64
 
@@ -74,7 +76,7 @@ class ByteIds:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _segment(self, text: str) -> bytes:
-        first, *rest = LONE_SPACE.split(text) if "  " in text else text.split(" ")
+        first, *rest = LONE_SPACE.split(text) if WHITE_RUN.search(text) else text.split(" ")
         return self._encode(first) + b"".join(map(self.chunks.__getitem__, rest))
 
     def __call__(self, text: str | None) -> bytes:

@@ -39,6 +39,15 @@ def test_byte_ids(texts):
         assert own(t) == want, t[:80]
 
 
+def test_byte_ids_of_mixed_white_runs():
+    plain, own = Tokenizer.from_file(packing.VOCABULARY), ByteIds(packing.VOCABULARY)
+    white = [" ", "\xa0", "\n", "\t", "\x85", "\x1c", "\u2003", "\u3000", "\u2028", "\u180e", "\u200b", "\ufeff"]
+    runs = ["".join(r) for n in range(1, 4) for r in itertools.product(white, repeat=n)] + [" \xa0" * n for n in range(2, 40)]
+    for t in [f"a{r}b" for r in runs] + [f"é {r}" for r in runs] + [f"{r}1 x" for r in runs] + ["a \xa0 \xa0 b", "<|endoftext|> \xa0 \xa0<|endoftext|>"]:
+        want = b"".join(i.to_bytes(4, "little") for i in plain.encode(t, add_special_tokens=False).ids)
+        assert own(t) == want, repr(t)
+
+
 def test_word_bpe(spark, texts):
     plain = Tokenizer.from_file(bpe.VOCABULARY)
     plain.no_truncation(), plain.no_padding()
