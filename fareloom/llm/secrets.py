@@ -1,9 +1,13 @@
 """Secrets in whole texts: three patterns, and encoded keys and signed tokens that are confirmed by their structure.
 
 assign, access and hex are the leftmost matches that don't overlap others of their kind; matches that are too short
-are dropped after matching. Beyond them, runs of base64 or hex characters (also broken into lines between key
-markers) are decoded and parsed: `private_key` if the bytes are a key encoding whose nested lengths fill it exactly,
-`signed_token` if header and payload of a dotted token decode to objects and the header names an algorithm.
+are dropped after matching. Beyond them, runs of base64 or hex characters are decoded and parsed: `private_key` if the
+bytes are a key encoding whose nested lengths fill it exactly, `signed_token` if header and payload of a dotted token
+decode to objects and the header names an algorithm.
+
+Base64 of a key may be broken by white space, quotes, line prefixes and backslash escapes, with or without key
+markers: its own lengths tell how many characters belong to it. It begins after, and ends before, a character that is
+no letter or digit. Inside a confirmed pair of markers only an unbroken run is a span of its own.
 
 Positions are code points, ends exclusive. Spans are ordered by start, then by kind as listed in KINDS. A null text
 counts as empty. No shuffle.
@@ -30,10 +34,20 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more is a leftmost match of [0-9a-f]+ of that length
 
-MARKED_KEY = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{43,}={0,2}")
-HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
-DOTTED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+MARKED_KEY = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([^-]*(?:-(?!----)[^-]*)*)-----END \1PRIVATE KEY-----")
+MARKED_HEADER = re.compile(r"[A-Za-z-]+: [^\n\\]*")
+#: First characters of a sequence of 32 bytes or more, and of the openssh container.
+KEY_START = re.compile(r"M[C-I](?:(?<![A-Za-z0-9]..)|(?<=\\[nrt]..)|(?<=\\u00[0-9A-Fa-f]{2}..))")
+CONTAINER_START = re.compile(r"b3Bl(?:(?<![A-Za-z0-9]....)|(?<=\\[nrt]....)|(?<=\\u00[0-9A-Fa-f]{2}....))")
+#: Base64 characters (group 1, escaped ones in 2 and 3), or what may stand between two lines of them.
+PIECE = re.compile(r"""["']\s*\+\s*["']|\\+[nrt]|\\+u000[9aAdD]|([A-Za-z0-9+/_-]+)|\\+(/)|\\+u00(2[bBfF])|[\s"',>#|*\\]""")
+PADDING = re.compile(r"(?:=|\\+u003[dD]){0,2}")
+BROKEN_PADDING = {n: re.compile(r"""(?:(?:\\+[nrt]|[\s"',>#|*\\])*(?:=|\\+u003[dD])){%d}""" % n) for n in (1, 2, 3)}
+HEX_RUN = re.compile(r"(?:(?<![0-9A-Za-z])|(?<=\\[nrt]))(?:0[xX])?([0-9A-Fa-f]{64,})(?![0-9A-Za-z])")
+TOKEN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
+DOTTED = re.compile(r"\.(?=([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*))")
+BYTE_MARKS = (b"\xef\xbb\xbf", b"\xff\xfe", b"\xfe\xff")
+TOKEN_CUT = re.compile(r"[_-]")
 OPENSSH = b"openssh-key-v1\0"
 INTEGER, OCTETS, OBJECT_ID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 
@@ -100,6 +114,118 @@ def is_private_key(data: bytes | None) -> bool:
     return tags[:2] == [INTEGER, OCTETS] and version == b"\1" and len(inner[1][1]) >= 20  # a curve's number
 
 
+def required(data: bytes) -> int | None:
+    """Bytes that a key needs as far as the lengths in `data`, its beginning of 15 or more, tell; None if it is none."""
+    if data.startswith(OPENSSH):
+        at, left = len(OPENSSH), 3  # cipher, derivation, its options
+        for counted in (False, True):
+            while left:
+                if at + 4 > len(data):
+                    return at + 4
+                at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+            if not counted:
+                if at + 4 > len(data):
+                    return at + 4
+                keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+                left = keys + 1  # public ones, then the private part
+        return at if keys else None
+    size, at = data[1], 2
+    if size & 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4:
+            return None
+        size, at = int.from_bytes(data[at : at + n], "big"), at + n
+    # every layout begins with a version of one byte
+    return at + size if data[0] == SEQUENCE and data[at : at + 2] == b"\2\1" and data[at + 2] <= 1 else None
+
+
+def character(m: re.Match) -> str:
+    """The base64 characters of a PIECE."""
+    return m[1] or m[2] or (chr(int(m[3], 16)) if m[3] else "")
+
+
+def key_end(text: str, start: int) -> tuple[int, bool] | None:
+    """End of the base64 key that begins at `start`, and whether it is one unbroken run."""
+    parts, n, at, broken, first = [], 0, start, False, None
+    need = len(OPENSSH)
+    container = False
+    while need <= len(text) - start and (m := PIECE.match(text, at)):
+        piece, at = character(m), m.end()
+        if not piece:
+            first, broken = first or m.start(), True
+            continue
+        parts.append(piece)
+        n += len(piece)
+        while n >= (chars := (need * 4 + 2) // 3):
+            body = "".join(parts)
+            parts = [body]
+            data = from_base64(body[:chars])
+            container = data.startswith(OPENSSH)
+            more = required(data)
+            if more is None:
+                return None
+            if more > need:
+                need = more
+                if need > len(text) - start:
+                    break
+                continue
+            # the container's lengths may leave some of its last run over
+            end = at if container else at - (n - chars)
+            if end < at and text[end] not in "+/-_" or not is_private_key(from_base64(body[: n - (n % 4 == 1)]) if container else data):
+                return None
+            if end < at:
+                return end, not broken
+            padding = PADDING.match(text, end)
+            if broken and padding.end() - end < -n % 4:  # a line may break in it
+                padding = BROKEN_PADDING[-n % 4].match(text, end) or padding
+            return padding.end(), not broken
+    if container:  # cut off: what the first run shows
+        end = first or at
+        if is_private_key(from_base64("".join(character(m) for m in PIECE.finditer(text, start, end)))):
+            return PADDING.match(text, end).end(), True
+    return None
+
+
+def private_keys(text: str) -> list[tuple[int, int]]:
+    found, marked = set(), []
+    if "PRIVATE KEY-----" in text:
+        for m in MARKED_KEY.finditer(text):
+            body = MARKED_HEADER.sub("", m[2])
+            if is_private_key(from_base64("".join(map(character, PIECE.finditer(body))))):
+                marked.append(m.span())
+    for pattern in (KEY_START, CONTAINER_START):
+        end = 0
+        for m in pattern.finditer(text):
+            if m.start() >= end and (key := key_end(text, m.start())):
+                end = key[0]
+                if key[1] or not any(a <= m.start() < b for a, b in marked):
+                    found.add((m.start(), end))
+    found.update(m.span() for m in HEX_RUN.finditer(text) if len(m[1]) % 2 == 0 and is_private_key(bytes.fromhex(m[1])))
+    return sorted(found | set(marked))
+
+
+def signed_tokens(text: str) -> list[tuple[int, int]]:
+    """Dotted triples from left to right, each header also tried behind its dashes and underscores."""
+    found, end = [], 0
+    for m in DOTTED.finditer(text):
+        dot = m.start()
+        low = max(end, text.rfind(".", 0, dot) + 1)
+        low += len(text[low:dot].rstrip(TOKEN))
+        cuts = [low, *(low + c.end() for c in TOKEN_CUT.finditer(text[low:dot]))]
+        if low and text[low - 1] == "\\" and text[low] in "nrt":
+            cuts.insert(1, low + 1)
+        for at in cuts:
+            if dot - at < 14:  # {"alg":""}
+                break
+            lead = from_base64(text[at : at + 4]) or b""
+            opens = lead.startswith(BYTE_MARKS) or lead.lstrip(b" \t\r\n\0")[:1] in (b"{", b"")
+            if opens and is_signed_token(text[at:dot], m[1]):
+                end = m.end(2)
+                found.append((at, end))
+                break
+    return found
+
+
 def is_signed_token(header: str, payload: str) -> bool:
     parts = []
     for part in (header, payload):
@@ -120,14 +246,8 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
-    keys = []
-    if "PRIVATE KEY-----" in text:
-        keys += [m.span() for m in MARKED_KEY.finditer(text) if is_private_key(from_base64("".join(m[2].split())))]
-    keys += [m.span() for m in BASE64_RUN.finditer(text) if is_private_key(from_base64(m[0]))]
-    keys += [m.span() for m in HEX_RUN.finditer(text) if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0]))]
-    spans += [("private_key", *s) for s in sorted(set(keys))]
-    if "eyJ" in text:
-        spans += [("signed_token", *m.span()) for m in DOTTED.finditer(text) if is_signed_token(m[1], m[2])]
+    spans += [("private_key", *s) for s in private_keys(text)]
+    spans += [("signed_token", *s) for s in signed_tokens(text)]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

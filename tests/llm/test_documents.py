@@ -100,6 +100,47 @@ def test_structures():
     assert secrets.find(f"eyJhbGciOiAxfQ.{url64([1])}.abc") == []
 
 
+def keys_in(text: str) -> list[tuple[int, int]]:
+    return [s[1:] for s in secrets.find(text) if s[0] == "private_key"]
+
+
+OPENED = secrets.OPENSSH + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + b"\0\0\0\1" + (b"\0\0\0\x33" + bytes(51)) + (b"\0\0\0\x90" + bytes(range(144)))
+
+
+@pytest.mark.parametrize("key", [NUMBERS, WRAPPED, CURVE, OPENED])
+def test_broken_and_escaped_keys(key):
+    run = base64.b64encode(key).decode()
+    for mark in ("\\n", "\\\\n", "\\r\\n", "\n> ", "\r\n", '",\n  "', '" +\n"', " "):
+        lines = mark.join(run[i : i + 64] for i in range(0, len(run), 64))
+        marked = f"-----BEGIN PRIVATE KEY-----{mark}{lines}{mark}-----END PRIVATE KEY-----"
+        assert (6, 6 + len(marked)) in keys_in(f'{{"k":"{marked}"}}'), mark
+        assert keys_in(f'a: "{lines}" and more words') == [(4, 4 + len(lines))], mark
+        assert keys_in(f"line{mark}{lines}{mark}") == [(4 + len(mark), 4 + len(mark) + len(lines))], mark
+    for width in (4, 5, 19, 76):
+        lines = "\n".join(run[i : i + width] for i in range(0, len(run), width))
+        assert keys_in(f"({lines})") == [(1, 1 + len(lines))], width
+    for body in (run.rstrip("="), run.replace("+", "-").replace("/", "_")):
+        for lead in ("path/", "/a/b/", "key_", "sk-live-", "x-y_z/"):
+            assert keys_in(lead + body) == [(len(lead), len(lead) + len(body))], lead
+    escaped = run.replace("/", "\\/").replace("+", "\\u002b").replace("=", "\\u003d")
+    assert keys_in(f'"{escaped}"') == [(1, 1 + len(escaped))]
+    for digits in (key.hex(), key.hex().upper()):
+        assert keys_in(f"k = 0x{digits};") == [(4, 6 + len(digits))]
+        assert keys_in(f"a\\n{digits}\\n") == [(3, 3 + len(digits))]
+    # one byte too many or too few is no key, nor is a run inside a word
+    if key is not OPENED:
+        assert keys_in(base64.b64encode(key + b"\0").decode()) == keys_in(base64.b64encode(key[:-1]).decode() + ".") == keys_in("x" + run) == []
+
+
+def test_tokens_of_any_header():
+    write = lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("=")
+    for header in ('{"alg":"none"}', '{ "alg": "HS256"}', '{\n  "alg": "HS256"\n}', ' {"alg":"HS256"}', '\n\t{"alg":"HS256"}'):
+        token = f"{write(header)}.{write(chr(10) + '{ }')}.abc-_"
+        for lead in ("", "a ", "www.", "a.b.", "sess_", "id-x_", "\\n", "Bearer="):
+            assert [s for s in secrets.find(lead + token) if s[0] == "signed_token"] == [("signed_token", len(lead), len(lead + token))], (header, lead)
+    assert not secrets.find("www.example.com and 1.2.3 " + f"{write('[1, 2, 3, 4, 5]')}.{write('{}')}.x")
+
+
 def naive_base(text: str) -> list[tuple[str, int, int]]:
     """The three patterns, read from left to right, one character at a time."""
     spans, words = [], ("password", "passwd", "secret", "token", "apikey", "api_key")
