@@ -14,8 +14,15 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised. Rejected: no letter at all, or no family of languages is likely."""
-    found = language.identify(docs, language.fit(docs, remainder=-1))
+    """Documents whose language is recognised. Rejected: no letter at all, or no family of languages is likely.
+
+    A script that no labelled row has is not recognised. Without any labelled row to learn from, every document with a
+    letter stays.
+    """
+    machines = language.fit(docs, remainder=-1)
+    if machines is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    found = language.identify(docs, machines)
     sure = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= language.MIN_SCORE)
     return found.where(sure).select(*docs.columns)
 

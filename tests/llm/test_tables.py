@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from fareloom.llm import SQL, ann, language, minhash, packing, preferences, secrets, urls
 from fareloom.llm.byte_ids import ByteIds
+from pyspark.sql import functions as F
 from test_documents import naive_components
 
 SMALL = "/root/testdata/sf0.001"
@@ -208,3 +209,11 @@ def test_pipeline(spark):
     for name, function in corpus_pipeline.STAGES:
         assert function(spark, docs.limit(0), SMALL).count() == 0, name
     assert language.MIN_SCORE < 0.5 and minhash.PERMUTATIONS * 2 >= 120
+
+
+def test_first_stage_without_labels(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(20).withColumn("lang", F.lit(None).cast("string"))
+    odd = spark.createDataFrame([(-1, None, None, "s", 0), (-2, "12 !", None, "s", 4), (-3, "中文字符", None, "s", 4)], docs.schema)
+    kept = corpus_pipeline.known_language(spark, docs.unionByName(odd), SMALL)
+    assert kept.schema == docs.schema
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([-3, *(r.doc_id for r in docs.collect())])
