@@ -17,14 +17,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language is recognised. Rejected: no letter at all, or no family of languages is likely.
 
     A script that no labelled row has is not recognised. Without any labelled row to learn from, every document with a
-    letter stays.
+    letter stays. All columns keep their values, whatever their names.
     """
     machines = language.fit(docs, remainder=-1)
     if machines is None:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
-    found = language.identify(docs, machines)
-    sure = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= language.MIN_SCORE)
-    return found.where(sure).select(*docs.columns)
+    own = {c.lower() for c in docs.columns}
+    added = tuple(next(n for n in (name + "_" * i for i in range(len(own) + 1)) if n not in own) for name in ("lang_pred", "score"))
+    found = language.identify(docs, machines, added)
+    sure = (F.col(added[0]) != language.UNKNOWN) & (F.col(added[1]) >= language.MIN_SCORE)
+    return found.where(sure).drop(*added)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

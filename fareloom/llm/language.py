@@ -195,11 +195,11 @@ def fit(docs: DataFrame, remainder: int = 1) -> Machines | None:
     return Machines(x, [r.lang for r in rows], letters)
 
 
-def identify(docs: DataFrame, machines: Machines | None) -> DataFrame:
-    """`docs` with lang_pred and score added; columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "score")
+def identify(docs: DataFrame, machines: Machines | None, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with lang_pred and score added under the names `added`; columns of these names are replaced."""
+    docs = docs.drop(*added)
     names = docs.columns
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(added[0], StringType()), StructField(added[1], DoubleType())])
     at = names.index("text")
 
     def run(batches):
@@ -218,7 +218,7 @@ def identify(docs: DataFrame, machines: Machines | None) -> DataFrame:
                 else:
                     found.append((UNKNOWN, 0.0))
             columns = [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
     return map_batches(docs, run, schema)
 

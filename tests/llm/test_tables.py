@@ -217,3 +217,11 @@ def test_first_stage_without_labels(spark):
     kept = corpus_pipeline.known_language(spark, docs.unionByName(odd), SMALL)
     assert kept.schema == docs.schema
     assert sorted(r.doc_id for r in kept.collect()) == sorted([-3, *(r.doc_id for r in docs.collect())])
+
+
+def test_first_stage_keeps_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    more = docs.withColumns({"score": F.col("doc_id") + 7, "Lang_Pred": F.lit("own"), "score_": F.lit(True)})
+    kept = corpus_pipeline.known_language(spark, more, SMALL)
+    assert kept.columns == more.columns and kept.count() == corpus_pipeline.known_language(spark, docs, SMALL).count() > 0
+    assert all(r.score == r.doc_id + 7 and r.Lang_Pred == "own" and r.score_ is True for r in kept.collect())
