@@ -84,9 +84,13 @@ graded AS (SELECT *, CASE WHEN NOT alive THEN 'REJECTED' WHEN flags <> '' THEN '
 
 
 # The grading orders rows by id, then content; the twin numbers the rows by the same columns.
+ROW_ORDER = ("observation_id", "total_fare")
+
+
 def grade(spark, sf, grouped: bool = False):
+    """Verdicts of all rows: no query but `passthrough` needs the raw columns."""
     source = V.fares_grouped(spark, sf) if grouped else V.fares_dirty(spark, sf)
-    return quality.grade(source, order_cols=("observation_id", "total_fare"))
+    return quality.verdicts(source, order_cols=ROW_ORDER)
 
 
 DIRTY = graded_ctes(S.fares_dirty())
@@ -161,7 +165,7 @@ def _exact(spark, sf):
 )
 def _near(spark, sf):
     rows = grade(spark, sf, grouped=True).filter(F.array_contains("flag_reasons", "POTENTIAL_DUPLICATE"))
-    return rows.select("observation_id", F.round("total_fare", 2).alias("total_fare"))
+    return rows.select("observation_id", F.round("fare", 2).alias("total_fare"))
 
 
 @query(
@@ -170,7 +174,7 @@ def _near(spark, sf):
 )
 def _suspicious(spark, sf):
     rows = grade(spark, sf, grouped=True).filter(F.array_contains("flag_reasons", "SUSPICIOUS_FARE"))
-    return rows.select("observation_id", "route", F.round("total_fare", 2).alias("total_fare"))
+    return rows.select("observation_id", "route", F.round("fare", 2).alias("total_fare"))
 
 
 @query(
@@ -178,7 +182,8 @@ def _suspicious(spark, sf):
     DIRTY + f"SELECT observation_id, origin, destination, {S.r('total_fare', 2)} AS total_fare FROM graded WHERE status <> 'REJECTED'",
 )
 def _passthrough(spark, sf):
-    rows = quality.passthrough(grade(spark, sf), RAW)
+    graded = quality.grade(V.fares_dirty(spark, sf), order_cols=ROW_ORDER)
+    rows = quality.passthrough(graded, RAW)
     return rows.select("observation_id", "origin", "destination", F.round("total_fare", 2).alias("total_fare"))
 
 

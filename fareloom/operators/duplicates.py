@@ -1,10 +1,14 @@
-"""Duplicate quotes of a graded batch: exact ones are rejected, near ones flagged."""
+"""Duplicate quotes of a graded batch: exact ones are rejected, near ones flagged.
+
+All of it runs on narrow rows: fixed-size keys, the order of the row, fare and reason (see `quality.verdicts`).
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,115 +16,117 @@ from ..config import QualityConfig
 from .cleaning import ORDER_COLS
 
 GROUP_COLS = ("airline", "origin", "destination", "flight_date", "booking_date")
-# Width of a price band in log units; a band reaches about +-1 % into its neighbours.
+# Fares of a group are dealt by bands of so many log units; a band reaches about one tolerance into its neighbours.
 BAND = 0.5
-EDGE = 1e-9
+# Cells per tolerance: a fare's neighbours less than so many cells away are near for certain.
+CELLS = 4
+# Below this fare the tolerance is that of this fare, and the scale of the cells is linear.
+LEAST = 1e-9
 
 
-def collapse_identical(df: DataFrame) -> DataFrame:
-    """Rows that agree in every column become one row with `copies`.
+def digest(columns: Sequence[Column], bits: int) -> Column:
+    """A key of fixed size of all columns; null and empty text differ."""
+    texts = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
+    nulls = F.concat(*[c.isNull().cast("int").cast("string") for c in columns])
+    text = F.concat_ws("|", nulls, *texts)
+    return F.unhex(F.md5(text) if bits == 128 else F.sha2(text, bits))
 
-    Row counts stay whole through the weight, and a row repeated across the whole input is
-    combined map-side before it is shuffled.
-    """
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
 
+def row_keys(raw_cols: Sequence[str]) -> dict[str, Column]:
+    """`row_key` of all raw columns, `content_key` of all but the id, with null as empty text, `group_key` of a near group."""
+    content = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in raw_cols if c != "observation_id"]
+    groups = [F.col(c) for c in (*GROUP_COLS, "source") if c in raw_cols]
+    return {
+        "row_key": digest([F.col(c) for c in raw_cols], 256),
+        "content_key": F.unhex(F.sha2(F.concat_ws("|", *content), 256)),
+        "group_key": digest(groups, 128),
+    }
 
-def with_row_order(df: DataFrame, raw_cols: Sequence[str], order_cols: Sequence[str] = ORDER_COLS) -> DataFrame:
-    """Add `content_key` (all raw columns but the id) and `row_order`, a strict total order.
 
-    The order is the given columns in turn, then id and content; the null mask separates rows that differ
-    only in null versus empty text.
-    """
-    content = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in raw_cols if c != "observation_id"]
-    mask = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in raw_cols])
-    given = [c for c in order_cols if c in df.columns]
-    order = [F.col(c).alias(f"by_{c}") for c in given]
-    key = F.sha2(F.concat_ws("|", *content), 256)
-    out = df.withColumn("content_key", key)
-    return out.withColumn(
-        "row_order", F.struct(*order, F.col("observation_id"), F.col("content_key"), mask.alias("null_mask"))
-    )
+def row_order(columns: Sequence[str], order_cols: Sequence[str] = ORDER_COLS) -> Column:
+    """A strict total order of distinct rows: the given columns in turn, then id and row key."""
+    given = [c for c in order_cols if c in columns]
+    return F.struct(*given, *[c for c in ("observation_id", "row_key") if c not in given])
 
 
-def mark_exact(df: DataFrame) -> DataFrame:
+def mark_exact(rows: DataFrame) -> DataFrame:
     """Add `is_repeat`: an earlier candidate (no rejection reason) has the same id or content.
 
-    Only keys that occur more than once are joined back, usually few rows; the planner sees
-    their size at run time. Both tests look at the same candidates.
+    Rejected rows stay out of the joins, so that blank ids, already rejected, don't meet on one key. Only keys that occur
+    more than once are joined back, usually few rows; the planner sees their size at run time.
     """
-    candidates = df.filter(F.col("rejection_reason").isNull())
+    reason = F.col("rejection_reason")
+    candidates = rows.filter(reason.isNull())
 
     def firsts(key: str, out: str) -> DataFrame:
         grouped = candidates.groupBy(key).agg(F.min("row_order").alias(out), F.count(F.lit(1)).alias("rows"))
         return grouped.filter(F.col("rows") > 1).drop("rows")
 
-    out = df.join(firsts("id_key", "first_of_id"), "id_key", "left")
+    out = candidates.join(firsts("id_key", "first_of_id"), "id_key", "left")
     out = out.join(firsts("content_key", "first_of_content"), "content_key", "left")
     later = (F.col("row_order") > F.col("first_of_id")) | (F.col("row_order") > F.col("first_of_content"))
-    repeat = F.col("rejection_reason").isNull() & F.coalesce(later, F.lit(False))
-    return out.withColumn("is_repeat", repeat).drop("first_of_id", "first_of_content")
+    marked = out.withColumn("is_repeat", F.coalesce(later, F.lit(False))).select(*rows.columns, "is_repeat")
+    return marked.unionByName(rows.filter(reason.isNotNull()).withColumn("is_repeat", F.lit(False)))
 
 
 def near_duplicates(candidates: DataFrame, config: QualityConfig) -> DataFrame:
-    """(group columns, fare, first_near): the first row whose fare lies within the tolerance.
+    """(group_key, fare, first_near): the first row whose fare lies within the tolerance.
 
-    A row is a potential duplicate when its own order is later than `first_near`. Rows of a group
-    are reduced to one row per fare, cut into price bands, and a range window over the logarithm
-    finds the earliest neighbour, so neither pairs nor whole groups are ever formed. Neighbours so
-    close to the limit that the logarithm cannot decide are tested with the exact rule.
+    A row is a potential duplicate when its own order is later than `first_near`. Rows of a group are reduced to one row
+    per fare, and fares to cells narrower than the tolerance: `CELLS` of them span its lower reach on a log scale. A fare is
+    near every fare that lies fewer than `CELLS` cells away, of which only the first row matters; the few cells beyond, where the
+    limit falls, send their fares, and only these are tested one by one with the exact rule. Each cell sends itself
+    to the cells around it, so they meet by equal cell numbers. A cell without another in reach sends nothing.
+
+    Fares are dealt once, by group and band; all that follows is grouped by more columns and needs no other exchange.
     """
     tol = config.near_duplicate_tolerance
-    groups = [*GROUP_COLS, *(["source"] if "source" in candidates.columns else [])]
-    keyed = candidates.select(*[F.col(c).alias(f"g_{c}") for c in groups], F.col("fare").alias("g_fare"), "row_order")
-    keys = [f"g_{c}" for c in groups]
-    fares = keyed.groupBy(*keys, "g_fare").agg(F.min("row_order").alias("first"), F.max("row_order").alias("last"))
-
-    log = F.ln("g_fare")
-    home = F.floor(log / BAND)
-    # Interval of earlier fares s with |f - s| <= tol * s, as offsets of ln f.
-    down, up = F.ln(F.lit(1.0 + tol)), -F.ln(F.lit(1.0 - tol))
-    reach = F.greatest(down, up) + 2 * EDGE
-    bands = F.array_distinct(F.array(F.floor((log - reach) / BAND), home, F.floor((log + reach) / BAND)))
-    spread = fares.withColumns({"log_fare": log, "home": home}).withColumn("band", F.explode(bands))
-
-    low, high = _log_reach(tol)
-    partition = ", ".join([*keys, "band"])
-    spread = spread.selectExpr(
-        "*",
-        f"min(first) OVER (PARTITION BY {partition} ORDER BY log_fare "
-        f"RANGE BETWEEN {low - EDGE!r}D PRECEDING AND {high - EDGE!r}D FOLLOWING) AS inside",
-        f"collect_list(named_struct('s', g_fare, 'o', first)) OVER (PARTITION BY {partition} ORDER BY log_fare "
-        f"RANGE BETWEEN {low + EDGE!r}D PRECEDING AND {low - EDGE!r}D PRECEDING) AS below",
-        f"collect_list(named_struct('s', g_fare, 'o', first)) OVER (PARTITION BY {partition} ORDER BY log_fare "
-        f"RANGE BETWEEN {high - EDGE!r}D FOLLOWING AND {high + EDGE!r}D FOLLOWING) AS above",
+    # reach of |f - s| <= tol * s in ln f - ln s, below and above; the first with a margin no rounding crosses
+    width = math.log1p(tol) / CELLS * (1 - 1e-6)
+    reach = -math.log1p(-tol) + 1e-6
+    far = math.ceil(reach / width)
+    sure, edge = list(range(1 - CELLS, CELLS)), [d for n in range(CELLS, far + 1) for d in (-n, n)]
+
+    keys = ["group_key", "fare"]
+    fares = candidates.groupBy(*keys).agg(F.min("row_order").alias("first"), F.max("row_order").alias("last"))
+    scale = F.when(F.col("fare") >= LEAST, F.ln("fare")).otherwise(F.col("fare") / LEAST - 1 + math.log(LEAST))
+    home = F.floor(F.col("scale") / BAND)
+    bands = F.array_distinct(F.array(F.floor((F.col("scale") - reach - 2 * width) / BAND), home, F.floor((F.col("scale") + reach + 2 * width) / BAND)))
+    fares = fares.withColumn("scale", scale).withColumns({"cell": F.floor(F.col("scale") / width), "own": home})
+    dealt = fares.withColumn("band", F.explode(bands)).repartition("group_key", "band")
+
+    in_band = ["group_key", "band"]
+    cells = dealt.groupBy(*in_band, "cell").agg(
+        F.min("first").alias("low"), F.collect_list(F.struct("fare", "first", "last", "own")).alias("fares")
     )
-    at_edge = F.filter(
-        F.concat("below", "above"),
-        lambda e: F.abs(F.col("g_fare") - e["s"]) <= F.lit(tol) * F.greatest(F.abs(e["s"]), F.lit(1e-9)),
+    order = W.partitionBy(*in_band).orderBy("cell")
+    alone = F.coalesce(F.col("cell") - F.lag("cell").over(order) > far, F.lit(True)) & F.coalesce(
+        F.lead("cell").over(order) - F.col("cell") > far, F.lit(True)
     )
-    nearest = F.least("inside", F.array_min(F.transform(at_edge, lambda e: e["o"])))
-    return (
-        spread.filter(F.col("band") == F.col("home"))
-        .withColumn("first_near", nearest)
-        .filter(F.col("first_near") < F.col("last"))
-        .select(*keys, "g_fare", "first_near")
+    around = F.when(F.col("alone"), F.array(F.lit(0))).otherwise(F.array(*[F.lit(d) for d in sure + edge]))
+    sent = cells.withColumn("alone", alone).withColumn("step", F.explode(around))
+    by_edge = F.abs("step") >= CELLS
+    sent = sent.select(
+        *in_band,
+        (F.col("cell") + F.col("step")).alias("cell"),
+        F.when(~by_edge, F.col("low")).alias("low"),
+        F.when(by_edge, F.transform("fares", lambda x: F.struct(x["fare"], x["first"]))).alias("edge"),
+        F.when(F.col("step") == 0, F.col("fares")).alias("here"),
     )
+    met = sent.groupBy(*in_band, "cell").agg(
+        F.min("low").alias("low"), F.flatten(F.collect_list("edge")).alias("edge"), F.flatten(F.collect_list("here")).alias("here")
+    )
+    met = met.withColumn("at", F.explode("here")).filter(F.col("at.own") == F.col("band"))
+    fare = F.col("at.fare")
+    at_edge = F.filter("edge", lambda e: F.abs(fare - e["fare"]) <= F.lit(tol) * F.greatest(F.abs(e["fare"]), F.lit(LEAST)))
+    nearest = F.least("low", F.array_min(F.transform(at_edge, lambda e: e["first"])))
+    found = met.select("group_key", fare.alias("fare"), nearest.alias("first_near"), F.col("at.last").alias("last"))
+    return found.filter(F.col("first_near") < F.col("last")).drop("last")
 
 
-def _log_reach(tol: float) -> tuple[float, float]:
-    import math
-
-    return math.log1p(tol), -math.log1p(-tol)
-
-
-def mark_near(df: DataFrame, config: QualityConfig) -> DataFrame:
+def mark_near(rows: DataFrame, config: QualityConfig) -> DataFrame:
     """Add `is_near_repeat` to rows without rejection reason."""
-    near = near_duplicates(df.filter(F.col("rejection_reason").isNull()), config)
-    groups = [c[2:] for c in near.columns if c.startswith("g_") and c != "g_fare"]
-    same = F.col("fare") == F.col("g_fare")
-    for c in groups:
-        same = same & F.col(c).eqNullSafe(F.col(f"g_{c}"))
-    joined = df.join(near, same, "left")
+    near = near_duplicates(rows.filter(F.col("rejection_reason").isNull()), config)
+    joined = rows.join(near, ["group_key", "fare"], "left")
     flag = F.col("rejection_reason").isNull() & F.coalesce(F.col("row_order") > F.col("first_near"), F.lit(False))
-    return joined.withColumn("is_near_repeat", flag).drop(*near.columns)
+    return joined.withColumn("is_near_repeat", flag).drop("first_near")

@@ -10,7 +10,7 @@ from ..constants import AIRPORTS, KNOWN_AIRLINES, OPTIONAL_COLUMNS, REQUIRED_COL
 from ..functions import columns as C
 from ..session import stage
 from .cleaning import ORDER_COLS
-from .duplicates import collapse_identical, mark_exact, mark_near, with_row_order
+from .duplicates import mark_exact, mark_near, row_keys, row_order
 from .quantiles import exact_percentiles, value_counts
 
 FLAG_ORDER = (
@@ -77,21 +77,24 @@ def field_reason(config: QualityConfig) -> Column:
     )
 
 
+def is_stale(df: DataFrame, config: QualityConfig, newest: Column) -> Column:
+    if "timestamp" not in df.columns:
+        return F.lit(False)
+    age = F.unix_micros(newest) - F.unix_micros(C.as_instant(df, "timestamp"))
+    return F.coalesce(age > F.lit(config.stale_after_days * 86_400_000_000), F.lit(False))
+
+
 def row_flags(df: DataFrame, config: QualityConfig, newest: Column) -> DataFrame:
     """Flags that need only the row itself and the reference time `newest`."""
     airports = [a[0] for a in AIRPORTS]
     optional = [c for c in OPTIONAL_COLUMNS if c in df.columns]
     lacks = C.any_of(C.is_blank(F.col(c)) for c in optional) if optional else F.lit(False)
-    stale = F.lit(False)
-    if "timestamp" in df.columns:
-        age = F.unix_micros(newest) - F.unix_micros(C.as_instant(df, "timestamp"))
-        stale = F.coalesce(age > F.lit(config.stale_after_days * 86_400_000_000), F.lit(False))
     return df.withColumns(
         {
             "is_unmapped": ~F.col("origin_code").isin(airports) | ~F.col("destination_code").isin(airports),
             "is_unknown_airline": ~F.upper("airline_name").isin(*KNOWN_AIRLINES),
             "lacks_optional": lacks,
-            "is_stale": stale,
+            "is_stale": is_stale(df, config, newest),
             "is_unusual_horizon": F.coalesce(F.col("horizon_days") > config.unusual_horizon_days, F.lit(False)),
         }
     )
@@ -145,27 +148,38 @@ def mark_suspicious(df: DataFrame, config: QualityConfig) -> DataFrame:
     return joined.withColumn("is_suspicious", F.coalesce(outside, F.lit(False))).drop("fare_lo", "fare_hi")
 
 
-def grade(
+NARROW = (
+    "row_key", "content_key", "group_key", "id_key", "row_order", "observation_id", "rejection_reason", "route", "flight_day",
+    "horizon_days", "fare", "is_unmapped", "is_unknown_airline", "lacks_optional", "is_stale", "is_unusual_horizon",
+)
+
+
+def verdicts(
     df: DataFrame,
     config: QualityConfig = QualityConfig(),
     reference_time: Column | None = None,
     order_cols: tuple[str, ...] = ORDER_COLS,
 ) -> DataFrame:
-    """Every row with reason, flags and status, identical rows as one row with `copies`.
+    """Every distinct row's key with reason, flags, status and `copies`, in narrow columns.
 
-    The surplus copies of an otherwise good row come as a second row with reason EXACT_DUPLICATE.
-    Distinct rows are staged before the duplicate search and after it, since each is read by
-    several branches.
+    All checks run on keys of fixed size and on what the row alone decides, so what is shuffled and staged doesn't grow with
+    the width of the rows. `source` and `timestamp` (parsed) stay where the rows have them. The surplus copies of an
+    otherwise good row come as a second row with reason EXACT_DUPLICATE; a row repeated across the whole input combines
+    before it is shuffled. The table is staged before the duplicate search and after it, since several branches read each.
     """
-    if missing_columns(df):
-        return _schema_failure(df)
     raw = df.columns
-    distinct = collapse_identical(df)
-    work = prepare(distinct).withColumn("rejection_reason", field_reason(config))
-    work = stage(with_row_order(work, raw, order_cols), "graded-rows")
-    newest = reference_time if reference_time is not None else newest_timestamp(work)
-
-    checked = mark_exact(work)
+    carried = [c for c in ("source", "timestamp") if c in raw]
+    work = prepare(df).withColumns({"rejection_reason": field_reason(config), **row_keys(raw)})
+    unaged = F.lit(None).cast("timestamp")  # the age needs the newest row and follows from the staged table
+    work = row_flags(work, config, unaged).withColumn("row_order", row_order(work.columns, order_cols))
+    if "timestamp" in raw:
+        work = work.withColumn("timestamp", C.as_instant(work, "timestamp"))
+    narrow = work.select(*NARROW, *carried)
+    distinct = narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("copies"))
+
+    distinct = stage(distinct, "graded-keys")
+    newest = reference_time if reference_time is not None else newest_timestamp(distinct)
+    checked = mark_exact(distinct.withColumn("is_stale", is_stale(distinct, config, newest)))
     good = F.col("rejection_reason").isNull() & ~F.col("is_repeat")
     surplus = F.when(
         good & (F.col("copies") > 1),
@@ -182,16 +196,38 @@ def grade(
                 F.col("rejection_reason")
             ),
         }
-    ).drop("part", "is_repeat")
+    ).drop("part", "is_repeat", "content_key", "id_key")
     settled = stage(split, "graded-unique")
 
-    flagged = row_flags(mark_suspicious(mark_near(settled, config), config), config, newest)
+    flagged = mark_suspicious(mark_near(settled, config), config)
     flags = C.in_order([(code, F.col(test)) for code, test in FLAG_ORDER])
     rejected = F.col("rejection_reason").isNotNull()
     out = flagged.withColumn("flag_reasons", F.when(rejected, F.array().cast("array<string>")).otherwise(flags))
     return _with_status(out).select(
-        *raw, "route", "flight_day", "horizon_days", "fare", "rejection_reason", "flag_reasons", "status", "copies"
-    )
+        "row_key", "observation_id", "route", "flight_day", "horizon_days", "fare", "rejection_reason", "flag_reasons",
+        "status", "copies", *carried,
+    )
+
+
+def grade(
+    df: DataFrame,
+    config: QualityConfig = QualityConfig(),
+    reference_time: Column | None = None,
+    order_cols: tuple[str, ...] = ORDER_COLS,
+) -> DataFrame:
+    """Every row with reason, flags and status, identical rows as one row with `copies` (see `verdicts`).
+
+    The raw columns join the verdicts at the very end: they are shuffled once, by row key, and rows that repeat
+    combine before.
+    """
+    if missing_columns(df):
+        return _schema_failure(df)
+    raw = df.columns
+    keyed = df.withColumn("row_key", row_keys(raw)["row_key"])
+    wide = keyed.groupBy("row_key").agg(*[F.first(c).alias(c) for c in raw])
+    added = [c for c in ("route", "flight_day", "horizon_days", "fare", "rejection_reason", "flag_reasons", "status", "copies")]
+    judged = verdicts(df, config, reference_time, order_cols).select("row_key", *added)
+    return wide.join(judged, "row_key").select(*raw, *added)
 
 
 def _with_status(df: DataFrame) -> DataFrame:
