@@ -16,7 +16,7 @@ from ..config import QualityConfig
 from .cleaning import ORDER_COLS
 
 GROUP_COLS = ("airline", "origin", "destination", "flight_date", "booking_date")
-# Fares of a group are dealt by bands of so many log units; a band reaches about one tolerance into its neighbours.
+# Fares of a group are dealt by bands of so many log units, or more for a wide tolerance: a band reaches into its neighbours only.
 BAND = 0.5
 # Cells per tolerance: a fare's neighbours less than so many cells away are near for certain.
 CELLS = 4
@@ -90,8 +90,10 @@ def near_duplicates(candidates: DataFrame, config: QualityConfig) -> DataFrame:
     keys = ["group_key", "fare"]
     fares = candidates.groupBy(*keys).agg(F.min("row_order").alias("first"), F.max("row_order").alias("last"))
     scale = F.when(F.col("fare") >= LEAST, F.ln("fare")).otherwise(F.col("fare") / LEAST - 1 + math.log(LEAST))
-    home = F.floor(F.col("scale") / BAND)
-    bands = F.array_distinct(F.array(F.floor((F.col("scale") - reach - 2 * width) / BAND), home, F.floor((F.col("scale") + reach + 2 * width) / BAND)))
+    margin = reach + 2 * width
+    band = max(BAND, margin)
+    home = F.floor(F.col("scale") / band)
+    bands = F.array_distinct(F.array(F.floor((F.col("scale") - margin) / band), home, F.floor((F.col("scale") + margin) / band)))
     fares = fares.withColumn("scale", scale).withColumns({"cell": F.floor(F.col("scale") / width), "own": home})
     dealt = fares.withColumn("band", F.explode(bands)).repartition("group_key", "band")
 

@@ -6,7 +6,7 @@ from conftest import quote_rows
 from pyspark.sql import functions as F
 
 from fareloom.config import QualityConfig
-from fareloom.operators import health, quality
+from fareloom.operators import duplicates, health, quality
 
 EXTRA = "source string"
 
@@ -96,3 +96,49 @@ def test_health_words(spark):
     got = {r["source"]: r["status"] for r in health.source_health(out, attempts, config=QualityConfig()).collect()}
     assert got == {"s": "FAILED", "UNKNOWN_SOURCE": "DEGRADED"}
     assert health.route_coverage(out, attempts).first()[0] == 0.5
+
+
+def near_flags(spark, fares, tolerance):
+    rows = [row(f"{i:04d}", f) for i, f in enumerate(fares)]
+    config = QualityConfig(near_duplicate_tolerance=tolerance)
+    out = quality.grade(quote_rows(spark, rows, EXTRA), config).filter(F.array_contains("flag_reasons", "POTENTIAL_DUPLICATE"))
+    return {int(r["observation_id"][1:]) for r in out.collect()}
+
+
+def near_pairs(fares, tolerance):
+    return {i for i, f in enumerate(fares) if any(abs(f - s) <= tolerance * max(abs(s), 1e-9) for s in fares[:i])}
+
+
+def test_near_duplicates_at_the_limit_for_other_tolerances(spark):
+    rng = random.Random(8)
+    for tolerance in (0.0004, 0.01, 0.3, 0.6):
+        start = [rng.uniform(50, 60) for _ in range(25)] + [10.0 ** rng.randint(-13, 12) * rng.random() for _ in range(40)] + [5e-324]
+        fares = [f * k for f in start for k in (1.0, 1 + tolerance, 1 - tolerance, 1 / (1 + tolerance), 1 / (1 - tolerance))]
+        fares = list(dict.fromkeys(f for f in fares if f > 0))
+        rng.shuffle(fares)
+        assert near_flags(spark, fares, tolerance) == near_pairs(fares, tolerance)
+
+
+def test_near_duplicates_need_no_sliding_frame_and_no_pairs(spark):
+    rows = quote_rows(spark, [row(i, 100.0 + i) for i in range(20)], EXTRA)
+    keyed = rows.selectExpr("xxhash64(source) AS group_key", "total_fare AS fare", "struct(observation_id) AS row_order")
+    plan = duplicates.near_duplicates(keyed, QualityConfig())._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame" not in plan and "Join" not in plan
+    # by fare, and by band: what follows keeps that layout
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 2
+
+
+def test_grading_shuffles_raw_columns_once(spark):
+    rows = quote_rows(spark, [(*row(1), "x" * 50), (*row(2), "y" * 50)], EXTRA + ", remark string")
+    out = quality.grade(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    scans = [line for line in plan.splitlines() if "remark" in line and "Exchange" in line]
+    assert len(scans) <= 1
+    assert "remark" not in quality.verdicts(rows).columns
+    assert {r["remark"][0]: r["copies"] for r in out.collect()} == {"x": 1, "y": 1}
+
+
+def test_many_blank_ids_are_rejected_without_meeting_on_a_key(spark):
+    rows = [row(i, 100.0 + i, id=" " if i % 2 else "") for i in range(40)] + [row(99), row(99)]
+    out = quality.verdicts(quote_rows(spark, rows, EXTRA)).groupBy("rejection_reason").agg(F.sum("copies").alias("n")).collect()
+    assert {r["rejection_reason"]: r["n"] for r in out} == {"MISSING_OBSERVATION_ID": 40, "EXACT_DUPLICATE": 1, None: 1}
