@@ -151,6 +151,7 @@ def mark_suspicious(df: DataFrame, config: QualityConfig) -> DataFrame:
 NARROW = (
     "row_key", "content_key", "group_key", "id_key", "row_order", "observation_id", "rejection_reason", "route", "flight_day",
     "horizon_days", "fare", "is_unmapped", "is_unknown_airline", "lacks_optional", "is_stale", "is_unusual_horizon",
+    "is_complete",
 )
 
 
@@ -171,7 +172,8 @@ def verdicts(
     carried = [c for c in ("source", "timestamp") if c in raw]
     work = prepare(df).withColumns({"rejection_reason": field_reason(config), **row_keys(raw)})
     unaged = F.lit(None).cast("timestamp")  # the age needs the newest row and follows from the staged table
-    work = row_flags(work, config, unaged).withColumn("row_order", row_order(work.columns, order_cols))
+    work = row_flags(work, config, unaged).withColumn("is_complete", is_complete(df, config))
+    work = work.withColumn("row_order", row_order(work.columns, order_cols))
     if "timestamp" in raw:
         work = work.withColumn("timestamp", C.as_instant(work, "timestamp"))
     narrow = work.select(*NARROW, *carried)
@@ -199,13 +201,14 @@ def verdicts(
     ).drop("part", "is_repeat", "content_key", "id_key")
     settled = stage(split, "graded-unique")
 
-    flagged = mark_suspicious(mark_near(settled, config), config)
+    # in this order, so that the fare counts read the staged rows and not the near search
+    flagged = mark_near(mark_suspicious(settled, config), config)
     flags = C.in_order([(code, F.col(test)) for code, test in FLAG_ORDER])
     rejected = F.col("rejection_reason").isNotNull()
     out = flagged.withColumn("flag_reasons", F.when(rejected, F.array().cast("array<string>")).otherwise(flags))
     return _with_status(out).select(
         "row_key", "observation_id", "route", "flight_day", "horizon_days", "fare", "rejection_reason", "flag_reasons",
-        "status", "copies", *carried,
+        "status", "copies", "is_complete", *carried,
     )
 
 
@@ -263,20 +266,28 @@ def record_results(graded: DataFrame) -> DataFrame:
 # --- Batch figures -----------------------------------------------------------------------------
 
 
-def completeness(df: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """One row: how many raw rows carry all required and all optional fields."""
-    lacking = missing_columns(df)
+def _lacking(df: DataFrame) -> tuple[Column, Column]:
+    """Whether a row lacks a required and an optional field."""
     present = [c for c in REQUIRED_COLUMNS if c in df.columns]
     optional = [c for c in OPTIONAL_COLUMNS if c in df.columns]
-    no_required = F.lit(True) if lacking else C.any_of(C.is_blank(F.col(c)) for c in present)
-    no_optional = C.any_of(C.is_blank(F.col(c)) for c in optional) if optional else F.lit(True)
-    complete = ~no_required & ~no_optional if config.strict_completeness else ~no_required
+    no_required = F.lit(True) if missing_columns(df) else C.any_of(C.is_blank(F.col(c)) for c in present)
+    return no_required, C.any_of(C.is_blank(F.col(c)) for c in optional) if optional else F.lit(True)
+
+
+def is_complete(df: DataFrame, config: QualityConfig) -> Column:
+    no_required, no_optional = _lacking(df)
+    return ~no_required & ~no_optional if config.strict_completeness else ~no_required
+
+
+def completeness(df: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
+    """One row: how many raw rows carry all required and all optional fields."""
+    no_required, no_optional = _lacking(df)
     out = df.agg(
         F.count(F.lit(1)).alias("total_records"),
         F.count_if(~no_required).alias("records_with_all_required_fields"),
         F.count_if(no_required).alias("records_missing_required_fields"),
         F.count_if(no_optional).alias("records_missing_optional_fields"),
-        F.count_if(complete).alias("complete"),
+        F.count_if(is_complete(df, config)).alias("complete"),
     )
     rate = F.coalesce(F.try_divide("complete", "total_records"), F.lit(0.0))
     return out.withColumn("completeness_rate", rate).drop("complete")
@@ -310,14 +321,16 @@ def batch_rates(graded: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("rejection_reason") == "INVALID_SCHEMA", 0.0)), F.lit(1.0)).alias(
             "schema_compliance_rate"
         ),
+        *([rows(F.col("is_complete")).alias("complete")] if "is_complete" in graded.columns else []),
     )
 
     def share(name: str) -> Column:
         return F.coalesce(F.try_divide(name, "records_received"), F.lit(0.0))
 
-    return out.withColumns(
+    out = out.withColumns(
         {"validity_rate": share("records_valid"), "duplicate_rate": share("exact_duplicate_count")}
     )
+    return out.withColumn("completeness_rate", share("complete")).drop("complete") if "complete" in out.columns else out
 
 
 def quality_score(rates: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
@@ -344,11 +357,17 @@ def quality_score(rates: DataFrame, config: QualityConfig = QualityConfig()) ->
 def batch_report(
     df: DataFrame, graded: DataFrame, config: QualityConfig = QualityConfig(), success_rate: Column | None = None
 ) -> DataFrame:
-    """One row with every batch figure. On a schema failure all rates are 0."""
+    """One row with every batch figure. On a schema failure all rates are 0.
+
+    Verdicts know which rows are complete, so that nothing but them is read; of graded rows `df` is read again.
+    """
     failed = bool(missing_columns(df))
-    rate = F.lit(0.0) if failed else completeness(df, config).select("completeness_rate").scalar()
     success = success_rate if success_rate is not None else F.lit(None).cast("double")
-    rates = batch_rates(graded).withColumns({"completeness_rate": rate, "source_success_rate": success})
+    rates = batch_rates(graded).withColumn("source_success_rate", success)
+    if failed:
+        rates = rates.withColumn("completeness_rate", F.lit(0.0))
+    elif "completeness_rate" not in rates.columns:
+        rates = rates.withColumn("completeness_rate", completeness(df, config).select("completeness_rate").scalar())
     if failed:
         # The duplicate share enters the score as one minus the rate, which is 0 here as well.
         rates = rates.withColumn("schema_compliance_rate", F.lit(0.0))
