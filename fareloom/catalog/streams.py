@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import IndexConfig
 from ..functions import columns as C
-from ..session import shared_dir, tune
+from ..session import shared_dir, stage, tune
 from ..sources import domain_views as V
 from ..streaming import quotes as ST
 from . import views as S
@@ -72,15 +72,34 @@ def _graded(spark, sf):
     return rows.groupBy(F.coalesce("rejection_reason", F.lit("OK")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+DELAY_DAYS = 10
+_RESENT = "o_orderkey % 5 = 0 AND year(o_orderdate) <= 1997"
+
+
 @query(
     "stream_dedup",
-    f"WITH src AS ({S.fares_dirty()}) SELECT DISTINCT coalesce(observation_id, '') AS observation_id FROM src",
+    f"SELECT CAST(o_orderkey AS VARCHAR) AS observation_id, CAST(1 + CASE WHEN {_RESENT} THEN 1 ELSE 0 END AS BIGINT) AS passed FROM orders",
 )
 def _dedup(spark, sf):
-    rows = V.fares_dirty(spark, sf).select(
-        F.coalesce("observation_id", F.lit("")).alias("observation_id"), F.to_timestamp("timestamp").alias("scraped_at")
+    """One arrival a year. A repeat within the delay is dropped, one that comes too late is dropped as late, and one of
+    three years on, whose first arrival is out of the state by then, passes."""
+    rows = V.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("observation_id"), F.col("o_orderdate").cast("timestamp").alias("scraped_at"),
+        F.year("o_orderdate").alias("arrival"), F.expr(_RESENT).alias("resent"),
+    )
+    again = rows.filter("pmod(xxhash64(observation_id), 3) = 0").withColumn("scraped_at", F.col("scraped_at") + F.expr("INTERVAL 2 DAY"))
+    late = rows.filter("pmod(xxhash64(observation_id), 7) = 0 AND arrival <= 1998").withColumn("arrival", F.col("arrival") + 2)
+    resent = rows.filter("resent").withColumns(
+        {"scraped_at": F.add_months("scraped_at", 36).cast("timestamp"), "arrival": F.col("arrival") + 3}
     )
-    return drain(ST.dedup_stream(land(rows, spark, "landed"), delay="5000 days"), spark, "dedup").select("observation_id")
+    sent = stage(rows.unionByName(again).unionByName(late).unionByName(resent).drop("resent"), "arrivals")
+    landed = folder(spark, "landed")
+    years = sorted(r[0] for r in sent.select("arrival").distinct().collect())
+    for year in years:  # files are taken up in the order they land
+        sent.filter(F.col("arrival") == year).drop("arrival").coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(sent.drop("arrival").schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    passed = drain(ST.dedup_stream(stream, delay=f"{DELAY_DAYS} days"), spark, "dedup")
+    return passed.groupBy("observation_id").agg(F.count(F.lit(1)).alias("passed"))
 
 
 @query(

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import IndexConfig, QualityConfig
-from ..functions import columns as C
 from ..operators import cleaning, facts
 from ..operators.quality import field_reason, prepare, row_flags
+from ..operators.quantiles import value_counts
 from ..operators.validation import enrich, with_rejection_reason
+from ..session import stage
 from ..sources import schemas
 
 
@@ -52,49 +53,62 @@ def freshness_by_source(
     )
 
 
-STORED = "observation_id string, route string, standardized_fare double, batch long, month_ord int"
+IDS = "observation_id string, route string, month_ord int, standardized_fare double, bucket int, batch long"
+DELTAS = "route string, standardized_fare double, n long, month_ord int, batch long"
+BUCKETS = 64
 
 
-def refresh_touched_months(config: IndexConfig, quotes_path: str, facts_path: str):
+def _written(df: DataFrame, path: str, *partitions: str) -> None:
+    """Overwrite the partitions that `df` holds, and no other."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+def _within(spark: SparkSession, path: str, schema: str, column: str, values: list[int]) -> DataFrame:
+    """Rows of the named partitions; other folders are not even listed."""
+    return spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{column}={v}" for v in values])
+
+
+def _distinct(df: DataFrame, column: str) -> list[int]:
+    return sorted(r[0] for r in df.select(column).distinct().collect())
+
+
+def refresh_touched_months(config: IndexConfig, store: str, facts_path: str, buckets: int = BUCKETS):
     """`foreachBatch` function that keeps route-month facts current.
 
-    A batch is written to the validated quotes under its own id (a replay overwrites it, so the
-    step is idempotent), without the ids an earlier batch already holds. The facts of the months it
-    touches are then recomputed from all their quotes, because medians cannot be updated in place,
-    and those month partitions are overwritten.
+    The store has two tables. `ids` holds the validated quotes of every batch by a hash bucket of their id: a batch is
+    written to its buckets first and then reads these buckets alone to drop ids of earlier batches. `counts` holds what a
+    batch adds, (route, fare, n) by month. Medians cannot be updated in place, so the facts of the months a batch
+    touches are computed from the summed counts of these months, and those partitions are overwritten.
+
+    What a batch reads is bounded by its buckets and months: at most `buckets` folders of ids and one folder of counts per
+    touched month. The lists of both are the only values the driver sees. All writes carry the batch's number and replace
+    what an earlier attempt wrote, and a replay looks at earlier batches only, so it ends in the same state.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        ids_path, counts_path = f"{store}/ids", f"{store}/counts"
         good = with_rejection_reason(batch, config.fare_field).filter(F.col("rejection_reason").isNull())
         rows = enrich(good.drop("rejection_reason"), config)
         slim = rows.select("observation_id", "route", "month_ord", "standardized_fare")
-        fresh_rows = cleaning.first_per_key(slim, ["observation_id"], ("standardized_fare",))
-        stored = spark.read.schema(STORED).parquet(quotes_path) if batch_id > 0 else None
-        if stored is not None:
-            # Only the ids of the batch are looked up among the stored ones; months are not pruned here.
-            seen = stored.filter(F.col("batch") < batch_id).select("observation_id")
-            fresh_rows = fresh_rows.join(seen, "observation_id", "left_anti")
-        target = f"{quotes_path}/batch={batch_id}"
-        fresh_rows.write.mode("overwrite").partitionBy("month_ord").parquet(target)
-        touched = spark.read.schema(STORED).parquet(quotes_path).filter(F.col("batch") == batch_id)
-        touched = touched.select("month_ord").distinct()
-        everything = spark.read.schema(STORED).parquet(quotes_path).filter(F.col("batch") <= batch_id)
-        # Partition pruning by month: the touched months are one small row each.
-        mine = everything.join(touched, "month_ord", "left_semi").select("route", "month_ord", "standardized_fare")
-        counts = cleaning.fare_counts(mine)
+        first = stage(cleaning.first_per_key(slim, ["observation_id"], ("standardized_fare",)), "batch-quotes")
+        number = F.lit(batch_id).cast("long")
+        bucket = F.pmod(F.xxhash64("observation_id"), F.lit(buckets)).cast("int")
+        own = first.withColumns({"bucket": bucket, "batch": number})
+        touched = _distinct(own, "bucket")
+        if not touched:
+            return
+        _written(own.repartition("bucket"), ids_path, "bucket", "batch")
+        seen = _within(spark, ids_path, IDS, "bucket", touched).filter(F.col("batch") < batch_id)
+        fresh = own.join(seen.select("observation_id"), "observation_id", "left_anti")
         keys = ("route", "month_ord")
-        fresh = facts.route_period_fares(cleaning.survivors(counts, keys, config), config)
-        (
-            fresh.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("month_ord")
-            .parquet(facts_path)
-        )
+        delta = stage(cleaning.fare_counts(fresh, keys).drop("bin").withColumn("batch", number), "batch-counts")
+        months = _distinct(delta, "month_ord")
+        if not months:
+            return
+        _written(delta.repartition("month_ord"), counts_path, "month_ord", "batch")
+        deltas = _within(spark, counts_path, DELTAS, "month_ord", months).filter(F.col("batch") <= batch_id)
+        counts = value_counts(deltas, keys, "standardized_fare", "n")
+        _written(facts.route_period_fares(cleaning.survivors(counts, keys, config), config), facts_path, "month_ord")
 
     return apply
-
-
-def month_filter(period: str):
-    """Partition filter for tables written by month."""
-    return F.col("month_ord") == C.period_ord(period)
