@@ -227,6 +227,19 @@ def _route_forecasts(spark, sf):
     return rows.select("route", "model", "forecast_period", rd("forecast_value", 5), rd("lower_bound", 5))
 
 
+@query(
+    "route_forecast",
+    S.index_ctes()
+    + _ROUTE_SERIES
+    + _NEXT
+    + f" SELECT key AS route, model, coalesce({S.period('last_real + 1')}, 'UNKNOWN') AS forecast_period, {S.r('fc', 5)} AS forecast_value FROM nxt WHERE key = 'DEL-BOM'",
+)
+def _route_forecast(spark, sf):
+    """One route by name; a name without a series would fail the query."""
+    rows = forecast.forecast_key(_route_series(spark, sf), "route", "DEL-BOM")
+    return rows.select("route", "model", "forecast_period", rd("forecast_value", 5))
+
+
 @query(
     "national_forecast",
     S.index_ctes()
@@ -308,6 +321,22 @@ def _ingest(spark, sf):
     return collection.ingest_counts(V.fares_dirty(spark, sf)).select("loaded", "usable", "dropped")
 
 
+@query(
+    "ingest_guard",
+    f"""WITH src AS ({S.fares_dirty()}), u AS (SELECT source, coalesce(observation_id, '') <> '' AND coalesce(airline, '') <> '' AND coalesce(origin, '') <> ''
+    AND coalesce(destination, '') <> '' AND coalesce(flight_date, '') <> '' AND coalesce(booking_date, '') <> '' AND coalesce(currency, '') <> '' AND total_fare > 0 AS ok FROM src)
+    SELECT CASE WHEN source = 'N' THEN 'mock' ELSE 'real' END AS kind, 'mixed' AS batch, count(*) AS n FROM u WHERE ok GROUP BY 1
+    UNION ALL SELECT 'real', 'real', count(*) FROM u WHERE ok AND source <> 'N'""",
+)
+def _guard(spark, sf):
+    """A batch of both kinds passes by leave only, a batch of real rows alone without."""
+    rows = V.fares_dirty(spark, sf).withColumn("is_mock", F.col("source") == "N")
+    kind = F.when(F.col("is_mock"), "mock").otherwise("real").alias("kind")
+    mixed = collection.guarded_ingest(rows, allow_mock=True).select(kind, F.lit("mixed").alias("batch"))
+    real = collection.guarded_ingest(rows.filter("not is_mock")).select(kind, F.lit("real").alias("batch"))
+    return mixed.unionByName(real).groupBy("kind", "batch").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- Official series ---------------------------------------------------------------------------
 
 _CPI = """cpi AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS m, floor(avg(o_totalprice)) / 1000 AS ix,

@@ -253,6 +253,33 @@ def _weights(spark, sf):
     return rows.select("route", "weight", rd("weight_normalized", 8))
 
 
+_VERSIONED = f"""SELECT o AS origin, d AS destination, v, CASE WHEN v > 0 THEN DATE '1996-01-01' + to_days((n * v * 97)::INT) END AS f,
+ CASE WHEN v < 3 THEN DATE '1996-01-01' + to_days((n * (v + 1) * 97 - CASE WHEN n % 4 = 0 THEN 0 ELSE 1 END)::INT) END AS t
+ FROM (SELECT split_part(route, '-', 1) AS o, split_part(route, '-', 2) AS d, n_o + 1 AS n, v FROM pairs, (SELECT unnest([0, 1, 2, 3]) AS v))"""
+
+
+@query(
+    "overlapping_weights",
+    f"""WITH {_PAIRS}, ew AS ({_VERSIONED}) SELECT b.origin || '-' || b.destination AS route, CAST(b.f AS VARCHAR) AS effective_from,
+    CAST(max(coalesce(a.t, DATE '9999-12-31')) AS VARCHAR) AS taken_until FROM ew a JOIN ew b ON a.origin = b.origin AND a.destination = b.destination AND a.v < b.v
+    WHERE coalesce(a.t, DATE '9999-12-31') >= b.f GROUP BY 1, 2""",
+)
+def _overlaps(spark, sf):
+    """Four weights of a route in turn; those of every fourth origin end on the day the next one begins."""
+    n = V.table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    pairs = n.join(n.select(F.col("n_nationkey").alias("b"), "n_regionkey"), "n_regionkey").filter("n_nationkey <> b")
+    versions = pairs.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("n", F.col("n_nationkey") + 1)
+    day = lambda step: F.date_add(F.lit("1996-01-01").cast("date"), step.cast("int"))
+    last = F.col("n") * (F.col("v") + 1) * 97 - F.when(F.col("n") % 4 == 0, 0).otherwise(1)
+    rows = versions.select(
+        V.pick(V.NATION_CODES, F.col("n_nationkey")).alias("origin"), V.pick(V.NATION_CODES, F.col("b")).alias("destination"),
+        F.lit(1.0).alias("weight"), F.when(F.col("v") > 0, day(F.col("n") * F.col("v") * 97)).alias("effective_from"),
+        F.when(F.col("v") < 3, day(last)).alias("effective_to"),
+    )
+    text = [F.col(c).cast("string").alias(c) for c in ("effective_from", "taken_until")]
+    return weights.overlapping(rows).select("route", *text)
+
+
 @query(
     "weights_for_periods",
     f"""WITH {_PAIRS}, ew AS ({_EFFECTIVE}), m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS d FROM orders)

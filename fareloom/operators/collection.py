@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import HORIZON_BUCKETS, REQUIRED_COLUMNS, RETRYABLE_STATUSES
 from ..functions import columns as C
+from .constraints import guarded
 
 COPIES_PER_BLOCK = 10_000
 
@@ -111,14 +112,22 @@ def ingest_counts(df: DataFrame) -> DataFrame:
     )
 
 
+def provenance_problem(counts: DataFrame, allow_mock: bool = False) -> DataFrame:
+    """(problem) of the counts of an ingest: real and mock rows mixed without leave, or nothing usable; else null."""
+    text = lambda *parts: F.concat(*[F.col(p).cast("string") if p in counts.columns else F.lit(p) for p in parts])
+    mixed = (F.col("real_count") > 0) & (F.col("mock_count") > 0) & F.lit(not allow_mock)
+    problem = F.when(mixed, text("real_count", " real and ", "mock_count", " mock observations are mixed")).when(
+        F.col("usable") == 0, text("no usable observation among ", "loaded", ", ", "dropped", " dropped")
+    )
+    return counts.select(problem.alias("problem"))
+
+
 def guarded_ingest(df: DataFrame, allow_mock: bool = False) -> DataFrame:
-    """Usable rows; nothing usable, or real and mock rows together without leave, is an error."""
-    counts = ingest_counts(df).first()
-    if not counts["usable"]:
-        raise ValueError(f"no usable observation among {counts['loaded']}")
-    if counts["real_count"] and counts["mock_count"] and not allow_mock:
-        raise ValueError(f"{counts['real_count']} real and {counts['mock_count']} mock observations are mixed")
-    return df.filter(structurally_usable(df))
+    """Usable rows; nothing usable, or real and mock rows together without leave, fails the query.
+
+    The counts are a branch of the same plan over the required columns; no action runs here.
+    """
+    return guarded(df.filter(structurally_usable(df)), provenance_problem(ingest_counts(df), allow_mock))
 
 
 def window_outcome(flight: Column, booking: Column) -> Column:

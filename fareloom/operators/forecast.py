@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..session import stage
+from .constraints import contiguous, known
 
 MODELS = ("naive", "historical_mean", "moving_average")
 MIN_FOLDS_FOR_INTERVAL = 3
@@ -92,18 +93,6 @@ def series(
     )
 
 
-def check_contiguous(table: DataFrame, keys: Sequence[str] = ()) -> None:
-    """Raise when a key skips or repeats a calendar month."""
-    per_key = table.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.countDistinct("month_ord").alias("distinct_months"),
-        (F.max("month_ord") - F.min("month_ord") + 1).alias("span"),
-    )
-    broken = per_key.filter((F.col("n") != F.col("span")) | (F.col("n") != F.col("distinct_months")))
-    if not broken.isEmpty():
-        raise ValueError("the series is not calendar-complete")
-
-
 # --- Models ------------------------------------------------------------------------------------
 
 
@@ -127,14 +116,17 @@ def backtest(
     horizon: int = 1,
     window: int = 3,
 ) -> DataFrame:
-    """Every fold of every key and model: forecast, error, scaled error and status."""
+    """Every fold of every key and model: forecast, error, scaled error and status.
+
+    Folds count by row, so a key that skips or repeats a month would mislabel its horizon: it fails the query.
+    """
     check_models(models)
     if min_train < 1 or horizon < 1:
         raise ValueError("min_train and horizon must be at least 1")
     order = _by(keys).orderBy("month_ord")
     history = order.rowsBetween(W.unboundedPreceding, -horizon)
     step = F.abs(F.col("value") - F.lag("value").over(order))
-    work = table.withColumn("step", step).withColumn("slot", F.row_number().over(order))
+    work = contiguous(table, keys).withColumn("step", step).withColumn("slot", F.row_number().over(order))
     scale = F.avg("step").over(history)
     work = work.withColumns(
         {
@@ -189,7 +181,7 @@ def evaluate(
 def forecast_next(
     table: DataFrame, keys: Sequence[str] = (), models: Sequence[str] = MODELS, window: int = 3, horizon: int = 1
 ) -> DataFrame:
-    """One forecast per key and model for the month after the last real value.
+    """One forecast per key and model for the month after the last real value; a skipped or repeated month fails the query.
 
     The model sees the whole series, trailing gap included. Bounds are +-1.96 residual standard
     deviations when at least three folds were scored.
@@ -202,7 +194,7 @@ def forecast_next(
     order = _by(keys).orderBy("month_ord")
     whole = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     # The frame that ends at the last row itself is the whole series.
-    last_row = table.withColumns(
+    last_row = contiguous(table, keys).withColumns(
         {
             "later": F.lead("month_ord").over(order),
             "data_points_used": F.count("value").over(whole),
@@ -238,12 +230,13 @@ def forecast_next(
     )
 
 
-def require_key(table: DataFrame, column: str, value: str) -> DataFrame:
-    """Rows of one key; an unknown key is an error."""
-    rows = table.filter(F.col(column) == value)
-    if rows.isEmpty():
-        raise ValueError(f"unknown {column}: {value!r}")
-    return rows
+def forecast_key(table: DataFrame, column: str, value: str, **options) -> DataFrame:
+    """The forecasts of one key, such as a route; a key without a series fails the query."""
+    return forecast_next(known(table, column, value), [column], **options)
+
+
+def backtest_key(table: DataFrame, column: str, value: str, **options) -> DataFrame:
+    return backtest(known(table, column, value), [column], **options)
 
 
 # --- Own models --------------------------------------------------------------------------------
@@ -276,6 +269,8 @@ def backtest_custom(
 
     def folds(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("month_ord").reset_index(drop=True)
+        if (pdf["month_ord"].diff().iloc[1:] != 1).any():
+            raise ValueError("not calendar-complete: " + ", ".join(str(pdf[k].iloc[0]) for k in keys))
         rows = []
         for target in range(min_train + horizon - 1, len(pdf)):
             actual = pdf["value"].iloc[target]

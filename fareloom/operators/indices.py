@@ -64,7 +64,7 @@ def route_universe(
     shared = tuple(c for c in by if c in weights.columns)
     if shared != by:
         raise ValueError(f"weights must carry the columns {by}")
-    basket = one_per_route(normalize(weights_for_period(weights, config.base_period), by), by)
+    basket = one_per_route(normalize(weights_for_period(weights, config.base_period, by), by), by)
     return per_route.join(basket, [*by, "route"], "full_outer")
 
 

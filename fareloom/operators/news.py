@@ -12,6 +12,7 @@ from ..config import MatchingConfig
 from ..functions import columns as C
 from ..functions.news_text import event_label, event_score, tidy
 from ..session import stage
+from .constraints import known
 
 ARTICLE_COLUMNS = (
     "headline", "source", "published_at", "url", "event_type", "summary",
@@ -239,8 +240,8 @@ def context_records(moves: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def route_context(moves: DataFrame, ranked: DataFrame, route: str, threshold: float) -> DataFrame:
-    """Context of one route: direction up or down, significance and its articles."""
-    one = context_records(moves.filter(F.col("route") == route), ranked.filter(F.col("route") == route))
+    """Context of one route: direction up or down, significance and its articles. An unknown route fails the query."""
+    one = context_records(known(moves, "route", route), ranked.filter(F.col("route") == route))
     return one.withColumns(
         {
             "significant_movement": is_significant(F.col("change_pct"), threshold),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import METROS
 from ..functions import columns as C
+from .constraints import refuse
 
 
 def with_defaults(weights: DataFrame) -> DataFrame:
@@ -27,21 +30,49 @@ def with_defaults(weights: DataFrame) -> DataFrame:
     return out
 
 
-def weights_for_period(weights: DataFrame, period: str) -> DataFrame:
-    """Rows in force on the first day of `period`; an open end is always in force."""
+def _swept(weights: DataFrame, by: Sequence[str]) -> tuple[DataFrame, Column]:
+    """Rows with `taken_until`, and the test that a row begins before that.
+
+    A sweep over the rows of a route by their first day: the running maximum of the last days tells for how long the route is
+    taken. A row of an open beginning starts first, one of an open end never ends; a range that ends before it begins is in
+    force on no day. Both ends of a range are in it. A route has few rows, one per change of its weight.
+    """
+    start = F.coalesce(F.col("effective_from").cast("date"), F.lit("0001-01-01").cast("date"))
+    end = F.coalesce(F.col("effective_to").cast("date"), F.lit("9999-12-31").cast("date"))
+    earlier = W.partitionBy(*by, "route").orderBy(start, end).rowsBetween(W.unboundedPreceding, -1)
+    swept = with_defaults(weights).withColumn("taken_until", F.max(F.when(start <= end, end)).over(earlier))
+    return swept, (start <= end) & (start <= F.col("taken_until"))
+
+
+def overlapping(weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of a route that begin while an earlier row of the route is in force, with the day that one ends."""
+    swept, taken = _swept(weights, by)
+    return swept.filter(taken)
+
+
+def one_in_force(weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The weights with defaults; two rows of a route in force on one day fail the query, or the route would count twice."""
+    swept, taken = _swept(weights, by)
+    since = F.coalesce(F.col("effective_from").cast("string"), F.lit("the start"))
+    text = F.concat(F.lit("weights of "), F.col("route"), F.lit(" overlap from "), since)
+    return refuse(swept, taken, text).drop("taken_until")
+
+
+def weights_for_period(weights: DataFrame, period: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows in force on the first day of `period`; an open end is always in force. Overlapping rows fail the query."""
     day = F.lit(f"{period}-01").cast("date")
-    w = with_defaults(weights)
+    w = one_in_force(weights, by)
     start, end = F.col("effective_from").cast("date"), F.col("effective_to").cast("date")
     return w.filter((start.isNull() | (start <= day)) & (end.isNull() | (end >= day)))
 
 
 def weights_for_periods(weights: DataFrame, periods: DataFrame) -> DataFrame:
-    """Rows in force for each of many periods (column `month_ord`).
+    """Rows in force for each of many periods (column `month_ord`). Overlapping rows fail the query.
 
     A validity range is turned into the months it covers within the given periods, which makes
     the range join an equi-join on the month.
     """
-    w = with_defaults(weights)
+    w = one_in_force(weights)
     span = periods.agg(F.min("month_ord").alias("lo"), F.max("month_ord").alias("hi"))
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     start, end = F.col("effective_from").cast("date"), F.col("effective_to").cast("date")
@@ -63,7 +94,7 @@ def normalize(weights: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def one_per_route(weights: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Lookup table: of several rows for a route the latest in force counts."""
+    """Lookup table of the rows in force, one per route."""
     latest = F.max(F.struct("effective_from", "effective_to", "weight", "weight_normalized"))
     return (
         weights.groupBy(*by, "route")

@@ -12,7 +12,7 @@ from ..config import IndexConfig, VolatilityConfig
 from ..constants import BOOKING_WINDOWS
 from ..functions import columns as C
 from ..operators import cleaning, facts, indices, volatility
-from ..operators.collection import structurally_usable
+from ..operators.collection import guarded_ingest, structurally_usable
 from ..operators.forecast import check_periods
 from ..operators.validation import enrich, with_rejection_reason
 from ..session import stage
@@ -103,12 +103,16 @@ def booking_window_panels(
     last: str,
     vol: VolatilityConfig = VolatilityConfig(),
     order_cols: tuple[str, ...] = cleaning.ORDER_COLS,
+    allow_mock: bool = False,
 ) -> Panel:
     """One panel per booking window in one plan: the window is one more key everywhere.
 
-    A thin window never affects another one.
+    A thin window never affects another one. Quotes that say whether they are mocks pass the guard of an ingest: no usable
+    one, or real and mock ones together without leave, fails the query.
     """
     by = ("window",)
+    if "is_mock" in quotes.columns:
+        quotes = guarded_ingest(quotes, allow_mock)
     table = stage(_window_facts(quotes, config, order_cols), "window-facts")
     lo, hi = F.lit(C.period_ord(first)), F.lit(C.period_ord(last))
     routes = indices.route_indices(table, config, lo, hi, None, by)
