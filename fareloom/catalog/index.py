@@ -253,8 +253,8 @@ def _weights(spark, sf):
     return rows.select("route", "weight", rd("weight_normalized", 8))
 
 
-_VERSIONED = f"""SELECT o AS origin, d AS destination, v, CASE WHEN v > 0 THEN DATE '1996-01-01' + to_days((n * v * 97)::INT) END AS f,
- CASE WHEN v < 3 THEN DATE '1996-01-01' + to_days((n * (v + 1) * 97 - CASE WHEN n % 4 = 0 THEN 0 ELSE 1 END)::INT) END AS t
+_VERSIONED = f"""SELECT o AS origin, d AS destination, v, CASE WHEN v > 0 THEN DATE '1996-01-01' + to_days((n * v * 97)::INT) END::DATE AS f,
+ CASE WHEN v < 3 THEN DATE '1996-01-01' + to_days((n * (v + 1) * 97 - CASE WHEN n % 4 = 0 THEN 0 ELSE 1 END)::INT) END::DATE AS t
  FROM (SELECT split_part(route, '-', 1) AS o, split_part(route, '-', 2) AS d, n_o + 1 AS n, v FROM pairs, (SELECT unnest([0, 1, 2, 3]) AS v))"""
 
 
