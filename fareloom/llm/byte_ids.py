@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
+from array import array
 
 #: How text is split before the merges (fixed value of the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -14,6 +16,10 @@ LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 WHITE_RUN = re.compile(r"\s\s")
 #: Longer chunks are encoded without being kept.
 CACHED_CHARS = 64
+#: Characters that both libraries put into the same classes lie below this one.
+BEYOND = "ɐ"
+#: Long texts are cut at the next lone space after so many characters, which bounds the lists of ids.
+STRETCH = 1 << 16
 
 
 def byte_chars() -> dict[int, str]:
@@ -69,13 +75,22 @@ class ByteIds:
         if not text:
             return b""
         # both libraries agree where character classes are beyond doubt; elsewhere the tokenizer itself decides
-        if text.isascii() or max(text) < "ɐ":
+        if text.isascii() or max(text) < BEYOND:
             ids = self.fast.encode_ordinary(text)
         else:
             ids = self._tokenizer().encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        packed = array("I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _segment(self, text: str) -> bytes:
+        """Plain texts go through whole, stretch by stretch; others word by word, so that only odd words are slow."""
+        if text.isascii() or max(text, default="") < BEYOND:
+            cuts = [0]
+            while len(text) - cuts[-1] > STRETCH and (found := LONE_SPACE.search(text, cuts[-1] + STRETCH)):
+                cuts.append(found.start())
+            return b"".join(self._encode(text[a:z]) for a, z in zip(cuts, [*cuts[1:], len(text)]))
         first, *rest = LONE_SPACE.split(text) if WHITE_RUN.search(text) else text.split(" ")
         return self._encode(first) + b"".join(map(self.chunks.__getitem__, rest))
 

@@ -5,9 +5,10 @@ A spot is an anchor (a very common word) directly before a content word; its sig
 signatures. A text with words but no spot has one signature of all its words, one without any word but with
 characters one of its characters, and an empty (or null) text the empty set.
 
-Likeness is the Jaccard similarity of two fingerprints. Sizes bound it by smaller / larger, so sets are put in
-partitions by size, each FLOOR times as wide as the next: sets more than one partition apart, or whose own sizes
-forbid it, are below FLOOR and their likeness is 0 without a comparison. Values under FLOOR count as 0.
+Likeness is the Jaccard similarity of two fingerprints, exact for stated pairs. A search for all pairs of a likeness or
+more (`similar`) puts the distinct fingerprints in partitions by size: sizes bound the likeness by smaller / larger, so a set
+meets its own partition and the next. There sets meet on their rarest signatures, as many as two sets of that likeness
+can't all differ in, and only where the sizes and the place of the shared signature leave it possible is it computed.
 
 DataFrame functions only. The next document in descending order is found on ids: a range partitioning, a window in
 each range and one row per range to join the ends; texts meet by equi-joins on (id, hash).
@@ -25,7 +26,7 @@ from fareloom.session import stage
 
 CHAIN = 2
 SPAN = 7
-FLOOR = 0.05
+SIMILARITY = 0.8
 NO_ID = -(1 << 63)
 
 #: Very common words of the languages covered, lower case.
@@ -51,13 +52,13 @@ def signatures(text: Column) -> Column:
     def spots(marked: Column) -> Column:  # null where an anchor stands
         def signature(word: Column, i: Column) -> Column:
             chain = F.slice(F.filter(F.slice(marked, i + 2, F.lit(SPAN)), filled), 1, CHAIN)
-            return F.when(word.isNull() & F.get(marked, i + 1).isNotNull(), F.hash(chain))
+            return F.when(word.isNull() & F.get(marked, i + 1).isNotNull(), F.xxhash64(chain))
 
         return F.filter(F.transform(marked, signature), filled)
 
     def of_words(w: Column) -> Column:
         found = let(F.transform(w, lambda x: F.when(~x.isin(anchors), x)), spots)
-        whole = F.when(F.size(w) > 0, F.array(F.hash(w))).when(text != "", F.array(F.hash(text))).otherwise(F.array().cast("array<int>"))
+        whole = F.when(F.size(w) > 0, F.array(F.xxhash64(w))).when(text != "", F.array(F.xxhash64(text))).otherwise(F.array().cast("array<long>"))
         return let(found, lambda s: F.when(F.size(s) > 0, F.sort_array(F.array_distinct(s))).otherwise(whole))
 
     return let(words, of_words)
@@ -67,18 +68,47 @@ def written(sigs: Column) -> Column:
     return F.array_join(sigs.cast("array<string>"), " ")
 
 
-def size_partition(sigs: Column, floor: float = FLOOR) -> Column:
-    """Number of the size class of a set: sets of likeness `floor` or more are at most one class apart."""
-    return F.floor(F.log(F.greatest(F.size(sigs), F.lit(1))) / -math.log(floor)).cast("int")
+def size_class(n: Column, least: float = SIMILARITY) -> Column:
+    """Number of the class of a set's size: sets of likeness `least` or more are at most one class apart."""
+    width = max(-math.log(least), 1e-9) * (1 + 1e-9)
+    return F.floor(F.log(F.greatest(n, F.lit(1))) / width).cast("long")
 
 
-def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
-    """Jaccard similarity of two signature sets, 1 for two empty ones, 0 below `floor`."""
-    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    apart = (F.abs(size_partition(a, floor) - size_partition(b, floor)) > 1) | (small < floor * large)
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two signature sets, 1 for two empty ones."""
     common = F.size(F.array_intersect(a, b))
     exact = let(common, lambda c: c / (F.size(a) + F.size(b) - c))
-    return F.when(large == 0, 1.0).when(apart, 0.0).otherwise(F.when(exact >= floor, exact).otherwise(0.0))
+    return F.when(F.greatest(F.size(a), F.size(b)) == 0, 1.0).otherwise(exact)
+
+
+def similar(prints: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, class_id) and links (a, b, likeness) of classes a < b of all texts of a likeness of `least` or more.
+
+    `prints` has doc_id and sigs (sorted distinct signatures). Rows of one fingerprint are one class, named by its least
+    doc_id, so copies are never paired. Rows without doc_id and empty fingerprints take no part. Every class sends its rarest
+    signatures, a share of 1 - least of its set, so a signature in a third of all texts is sent by few; a signature that many
+    classes do send is one key, which AQE splits.
+    """
+    rows = prints.where("doc_id is not null and size(sigs) > 0")
+    classes = stage(rows.groupBy("sigs").agg(F.min("doc_id").alias("class_id")), "spots-classes")
+    members = rows.join(classes, "sigs").select("doc_id", "class_id")
+    counts = classes.select(F.explode("sigs").alias("sig")).groupBy("sig").count()
+    each = classes.select("class_id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig")).join(counts, "sig")
+    ordered = each.groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "sig"))).alias("rare"))
+    sent = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
+    ordered = stage(ordered.select("class_id", "n", F.slice(F.transform("rare", lambda x: x["sig"]), F.lit(1), sent).alias("rare")), "spots-rare")
+    spread = ordered.select("class_id", "n", size_class(F.col("n"), least).alias("part"), F.posexplode("rare").alias("at", "sig"))
+    left = spread.select(F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), F.col("part").alias("own"))
+    right = spread.select(F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), "sig", "part")
+    met = left.join(right, ["part", "sig"]).where("part > own or a < b")
+    # what can still be shared from the signature on decides if the likeness can be reached
+    most = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    possible = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9) & (most >= (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9)
+    pairs = met.where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sets = classes.select("class_id", "sigs")
+    with_a = pairs.join(sets.toDF("a", "sigs_a"), "a")
+    both = with_a.join(sets.toDF("b", "sigs_b"), "b").withColumn("likeness", likeness(F.col("sigs_a"), F.col("sigs_b")))
+    return members, both.where(F.col("likeness") >= least).select("a", "b", "likeness")
 
 
 def next_ids(rows: DataFrame) -> DataFrame:
@@ -135,7 +165,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         written(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
         likeness(F.col("own"), F.col("following")).alias("near_next"),
-        size_partition(F.col("own")).alias("size_partition"),
+        size_class(F.size("own")).alias("size_partition"),
     )
 
 

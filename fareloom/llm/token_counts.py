@@ -1,6 +1,7 @@
 """Token counts of a unigram vocabulary without making the tokens: count-only Viterbi.
 
-Text is split before each space (which becomes U+2581, and stands before the first word too). Within a word an
+Spaces become U+2581, and one more stands before the text. It is cut before each run of marks, where no piece of the
+vocabulary can cross (a vocabulary with such a piece is taken whole); a run stays with the word that follows. Within a word an
 Aho-Corasick automaton lists every vocabulary piece that ends at each character; the dynamic program carries the best
 score and the number of pieces of the best path only. Ties go to the piece that starts first, as in the tokenizer: a
 later candidate replaces an earlier one only if it is strictly better. A character that is no piece by itself may be
@@ -12,6 +13,8 @@ Each task caches words up to a bound. Nothing is shuffled. Null and empty texts
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ from .batches import map_batches
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
+#: A run of marks with the word that follows, or a run at the end.
+WORD = re.compile(f"{MARK}+[^{MARK}]*")
 UNKNOWN_PENALTY = 10.0
 
 
@@ -40,7 +45,7 @@ class _Words(dict):
         self.best, self.entries = best, entries
 
     def __missing__(self, word: str) -> tuple[int, float]:
-        value = self.best(MARK + word)
+        value = self.best(word)
         if len(word) <= 64 and len(self) < self.entries:
             self[word] = value
         return value
@@ -57,6 +62,7 @@ class Viterbi:
         self.unknown = min([0.0, *pieces.values()]) - UNKNOWN_PENALTY
         self.byte_fallback = byte_fallback
         self.words = _Words(self.best, entries)
+        self.whole = any(MARK in piece.lstrip(MARK) for piece in pieces)
 
     def best(self, word: str) -> tuple[int, float]:
         """Number of pieces and score of the best path through a word."""
@@ -86,9 +92,8 @@ class Viterbi:
     def text(self, text: str | None) -> tuple[int, float]:
         if not text:
             return 0, 0.0
-        words = text.replace(MARK, " ").split(" ")
-        if not words[0]:
-            del words[0]  # a leading space is the mark of the first word
+        marked = MARK + text.replace(" ", MARK)
+        words = [marked] if self.whole else WORD.findall(marked)
         found = list(map(self.words.__getitem__, words))
         return sum([f[0] for f in found]), sum([f[1] for f in found])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -224,7 +225,7 @@ def naive_likeness(a: set, b: set) -> float:
     if not a and not b:
         return 1.0
     value = len(a & b) / len(a | b)
-    return value if value >= spots.FLOOR else 0.0
+    return value
 
 
 def test_fingerprints(spark):
@@ -252,6 +253,31 @@ def test_fingerprints_of_odd_tables(spark):
     assert len(rows) == 5 and len({r.fingerprint for r in rows if r.doc_id == 1}) == 2
 
 
+def test_similar_fingerprints_against_all_pairs(spark):
+    rng = random.Random(11)
+    base = [rng.sample(range(400), rng.choice([1, 2, 3, 5, 20, 60, 61, 75])) for _ in range(12)]
+    sets = [set(b) for b in base]
+    for b in base:
+        for _ in range(12):
+            changed = set(rng.sample(b, max(1, len(b) - rng.randrange(1 + len(b) // 5)))) | {rng.randrange(400) for _ in range(rng.randrange(1 + len(b) // 6))}
+            sets.append(changed)
+    sets += [{1000 + x for x in range(10)}, {1000 + x for x in range(8)}, set(), set()] + [sets[3]] * 30  # exactly 0.8, empty ones, copies
+    rows = [(i, sorted(x)) for i, x in enumerate(sets)] + [(None, [1, 2])]
+    for least in (0.5, 0.8, 1.0):
+        members, links = spots.similar(spark.createDataFrame(rows, "doc_id long, sigs array<long>"), least)
+        classes = {r.doc_id: r.class_id for r in members.collect()}
+        first = {}
+        for i, x in enumerate(sets):
+            if x:
+                first.setdefault(frozenset(x), i)
+        assert classes == {i: first[frozenset(x)] for i, x in enumerate(sets) if x}
+        want = {(a, b): len(x & y) / len(x | y) for (x, a), (y, b) in itertools.combinations(first.items(), 2) if len(x & y) >= least * len(x | y)}
+        assert {(r.a, r.b): r.likeness for r in links.collect()} == want
+        assert least == 1.0 or len(want) > 20
+    members, links = spots.similar(spark.createDataFrame([], "doc_id long, sigs array<long>"))
+    assert members.count() == links.count() == 0
+
+
 # near-duplicates
 
 

@@ -8,9 +8,9 @@ import zlib
 
 import pytest
 import sentencepiece
-from fareloom.llm import bpe, packing, token_counts
+from fareloom.llm import bpe, byte_ids, packing, token_counts
 from fareloom.llm.byte_ids import ByteIds
-from tokenizers import Tokenizer, models, pre_tokenizers
+from tokenizers import Tokenizer
 
 TEXTS = [
     "", " ", "  ", "a", "The quick brown fox, isn't it? 123 4567", "tabs\tand\n\nlines \n  and   runs   ", "\x1c\x1d odd\x1fspaces\x85here\xa0too",
@@ -48,6 +48,15 @@ def test_byte_ids_of_mixed_white_runs():
         assert own(t) == want, repr(t)
 
 
+def test_byte_ids_of_long_texts(monkeypatch):
+    monkeypatch.setattr(byte_ids, "STRETCH", 7)
+    plain, own, rng = Tokenizer.from_file(packing.VOCABULARY), ByteIds(packing.VOCABULARY), random.Random(2)
+    for _ in range(300):
+        t = "".join(rng.choice("ab  '\n\t\xa0.,1é") for _ in range(rng.randrange(120)))
+        want = b"".join(i.to_bytes(4, "little") for i in plain.encode(t, add_special_tokens=False).ids)
+        assert own(t) == want, repr(t)
+
+
 def test_word_bpe(spark, texts):
     plain = Tokenizer.from_file(bpe.VOCABULARY)
     plain.no_truncation(), plain.no_padding()
@@ -68,32 +77,61 @@ def test_short_and_long_merges_agree():
         assert own.merge(list(word)) == own._merge_long(list(word))
 
 
+def unigram(pieces, byte_fallback: bool):
+    """The library's own unigram model over given pieces: whole texts, extra spaces kept."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    kinds = pb.ModelProto.SentencePiece
+    proto = pb.ModelProto()
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = pb.TrainerSpec.UNIGRAM, byte_fallback
+    proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces = True, False
+    proto.normalizer_spec.escape_whitespaces = True
+    names = [("<unk>", 0.0, kinds.UNKNOWN)] + ([(f"<0x{b:02X}>", 0.0, kinds.BYTE) for b in range(256)] if byte_fallback else [])
+    for piece, score, kind in names + [(p, x, kinds.NORMAL) for p, x in pieces.items()]:
+        proto.pieces.add(piece=piece, score=score, type=kind)
+    return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+
+RUNS = [a + " " * n + b for n in range(1, 21) for a, b in (("x", "y"), ("", "y"), ("x", ""), ("", ""), ("the\n", "of  it"))]
+RUNS += ["x    y", "a        b c  d", "hello   world", " a", "  a ", "a \u2581 \u2581\u2581b", " \xa0  \t  b"]
+
+
 def test_token_counts(spark, texts):
-    model = sentencepiece.SentencePieceProcessor(model_file=token_counts.VOCABULARY)
+    """The library adds scores in single precision: whole texts are compared with small whole scores, which both add exactly."""
     pieces, fallback = token_counts.load_pieces(token_counts.VOCABULARY)
     assert fallback
-    byte_pieces = [(model.id_to_piece(i), 0.0) for i in range(model.get_piece_size()) if model.is_byte(i)]
-    vocabulary = [("<unk>", 0.0), *byte_pieces, *pieces.items()]
-    plain = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
-    plain.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always")
-    got = {r.doc_id: r for r in token_counts.token_counts(frame(spark, [*texts, None])).collect()}
-    for i, t in enumerate([*texts, ""]):
-        ids = plain.encode(t, add_special_tokens=False).ids
-        assert got[i].n_tokens == len(ids), t[:80]
-        if 0 not in ids and not any(x <= 256 for x in ids):
-            assert got[i].score == sum(vocabulary[x][1] for x in ids)
+    small = {p: -float(zlib.crc32(p.encode()) % 97 + 1) for p in pieces}
+    plain, own, every = unigram(small, fallback), token_counts.Viterbi(small, fallback), [*texts, *RUNS]
+    for t in every:
+        ids = plain.encode(t)
+        count, score = own.text(t)
+        assert count == len(ids), t[:80]
+        if not any(x <= 256 for x in ids):
+            assert score == sum(plain.get_score(x) for x in ids)
+    real, short = unigram(pieces, fallback), [t for t in every if len(t) < 200 and all(c in pieces for c in t.replace(" ", "▁"))]
+    assert len(short) > 80
+    got = {r.doc_id: r for r in token_counts.token_counts(frame(spark, [*short, None])).collect()}
+    for i, t in enumerate([*short, ""]):
+        # the library's lattice; its faster plain encoding misses the best path of scores as far apart as these
+        first, *other = [(sum(real.get_score(x) for x in ids), len(ids)) for ids in real.nbest_encode_as_ids(t, 2)] if t else [(0.0, 0)]
+        assert got[i].score == first[0], t
+        assert got[i].n_tokens == first[1] or other[0] == (first[0], got[i].n_tokens), t
 
 
 def test_ties_and_unknown_runs():
-    pieces = {"▁": -1.0, "a": -1.0, "b": -1.0, "ab": -2.0, "abc": -3.0, "bc": -2.0, "aba": -1.5}
+    pieces = {"▁": -1.0, "▁▁": -1.5, "a": -1.0, "b": -1.0, "ab": -2.0, "abc": -3.0, "bc": -2.0, "aba": -1.5}
     for fallback in (False, True):
-        vocabulary = [("<unk>", 0.0)] + ([(f"<0x{b:02X}>", 0.0) for b in range(256)] if fallback else []) + list(pieces.items())
-        plain = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=fallback))
-        plain.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always")
-        own = token_counts.Viterbi(pieces, fallback)
+        plain, own = unigram(pieces, fallback), token_counts.Viterbi(pieces, fallback)
         for n in range(1, 6):
             for t in map("".join, itertools.product("abcé ", repeat=n)):
-                assert own.text(t)[0] == len(plain.encode(t).ids), (t, fallback)
+                assert own.text(t)[0] == len(plain.encode(t)), (t, fallback)
+
+
+def test_pieces_across_words_keep_texts_whole():
+    pieces = {"▁": -3.0, "a": -3.0, "b": -3.0, "a▁b": -1.0, "▁a": -4.0}
+    plain, own = unigram(pieces, False), token_counts.Viterbi(pieces, False)
+    for t in map("".join, itertools.product("ab ", repeat=5)):
+        assert own.text(t)[0] == len(plain.encode(t)), t
 
 
 def check_pieces(rows, want: dict, window: int) -> int:
