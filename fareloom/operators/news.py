@@ -138,65 +138,94 @@ def score(pairs: DataFrame, config: MatchingConfig) -> DataFrame:
     )
 
 
-def _general_score(config: MatchingConfig, roster_known: Column) -> Column:
-    """Score of an article for a movement it names neither by place, route nor carrier."""
-    named = F.when(roster_known, 0.25).otherwise(0.5)
-    return _total(
+def _places(airports: Column, routes: Column) -> Column:
+    """Where an article may meet a movement: nowhere, at one airport, at both, or on a route; with airports hit and route hit.
+
+    An article on a route hits those of its ends that it names, so a route needs no other entry.
+    """
+    place = lambda key, hits, route: F.struct(key.alias("key"), hits.cast("int").alias("hits"), F.lit(route).alias("route"))
+    pairs = F.flatten(
+        F.transform(
+            airports,
+            lambda a: F.transform(
+                F.filter(airports, lambda b: b > a), lambda b: place(F.concat(F.lit("A:"), a, F.lit("|"), b), F.lit(2), False)
+            ),
+        )
+    )
+    ends = lambda r: F.size(F.array_intersect(F.split(r, "-"), airports))
+    return F.concat(
+        F.array(place(F.lit(""), F.lit(0), False)),
+        F.transform(airports, lambda a: place(F.concat(F.lit("A:"), a), F.lit(1), False)),
+        pairs,
+        F.transform(routes, lambda r: place(F.concat(F.lit("R:"), r), ends(r), True)),
+    )
+
+
+def top_lists(nearby: DataFrame, config: MatchingConfig, with_rosters: bool) -> DataFrame:
+    """The best `top_n` articles per date, roster class, place and carrier: (as_of, roster_known, meeting, article columns).
+
+    A list is ranked by what its articles score for a movement that they meet in this place, over this carrier and nowhere
+    else. An article in two airports, a route and two carriers stands in a dozen lists, and a list has `top_n` rows at most.
+    """
+    tagged = _tidied(nearby)
+    airports, routes, airlines = (F.array_distinct(F.coalesce(F.col(f"t_{k}"), F.array().cast("array<string>"))) for k in ("airports", "routes", "airlines"))
+    named = F.size(airlines) > 0
+    carrier = lambda key, worth, known: F.struct(key.alias("key"), worth.cast("double").alias("worth"), F.lit(known).alias("known"))
+    carriers = [F.array(carrier(F.lit(""), F.when(named, 0.5).otherwise(0.0), False))]
+    if with_rosters:
+        carriers.append(F.array(carrier(F.lit(""), F.when(named, 0.25).otherwise(0.0), True)))
+        carriers.append(F.transform(airlines, lambda x: carrier(F.concat(F.lit("L:"), x), F.lit(1.0), True)))
+    spread = tagged.withColumn("named_airport", F.size(airports) > 0).withColumn("carrier", F.explode(F.concat(*carriers)))
+    spread = spread.withColumn("place", F.explode(_places(airports, routes)))
+    worth = _total(
         [
             (config.weight_date, _date_score(config)),
-            (config.weight_airline, F.when(F.size("t_airlines") > 0, named).otherwise(0.0)),
+            (config.weight_airport, F.col("place.hits") / 2.0),
+            (config.weight_route, F.col("place.route").cast("double")),
+            (config.weight_airline, F.col("carrier.worth")),
             (config.weight_event, event_score(F.col("event_type"))),
-            (config.weight_geography, F.when(F.size("t_airports") == 0, 0.5).otherwise(0.0)),
+            (config.weight_geography, F.when(~F.col("named_airport"), 0.5).when(F.col("place.hits") > 0, 1.0).otherwise(0.0)),
         ]
     )
+    listed = spread.select(
+        "as_of",
+        F.col("carrier.known").alias("roster_known"),
+        F.concat("place.key", F.lit("#"), "carrier.key").alias("meeting"),
+        worth.alias("worth"),
+        *ARTICLE_COLUMNS,
+    ).filter(F.col("worth") >= config.min_relevance)
+    order = W.partitionBy("as_of", "roster_known", "meeting").orderBy(F.desc("worth"), F.desc("published_at"), "url")
+    return listed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= config.top_n).drop("place", "worth")
 
 
 def rank_articles(moves: DataFrame, articles: DataFrame, config: MatchingConfig = MatchingConfig()) -> DataFrame:
     """The top articles of every movement, best first; ties go to the newer, then by address.
 
-    Not every (movement, article) pair is formed. An article that names neither the airports, the
-    route nor a carrier of a movement scores the same for all movements of a date whose roster is
-    known, and for all whose roster is null; naming one only raises the score. So the best `top_n`
-    by that general score per date and class, plus the articles that meet a movement on a shared
-    tag, contain every movement's top list.
+    Articles are cut to `top_lists` before they meet any movement, so the pairs of articles and routes of an airport are never
+    formed: a movement meets at most `top_n` articles in each of six places over each carrier of its roster. That is
+    enough by a threshold rule. Take an article in the list of exactly what it shares with a movement: there it stands with
+    its true score. Whatever precedes it in that list scores at least as much for the movement, as sharing more only
+    raises a score, and wins its ties. So an article cut from that list has `top_n` better ones.
+
+    A movement's route is its origin and destination joined by a dash. A null roster is a class of its own.
     """
     has_roster = "airlines_on_route" in moves.columns
-    # Both are read by several branches: movements (one row per route and month) and the candidates.
-    moves = stage(moves, "movements")
+    moves = stage(moves, "movements")  # one row per route and month, read by the window and by the join
     nearby = first_by_url(in_window(moves, with_article_columns(articles), config.date_window_days))
-    nearby = stage(nearby, "nearby-articles")
-    tagged = _tidied(nearby)
+    lists = top_lists(nearby, config, has_roster)
 
-    classes = F.array(F.lit(False), F.lit(True)) if has_roster else F.array(F.lit(False))
-    judged = tagged.withColumn("roster_known", F.explode(classes))
-    judged = judged.withColumn("general", _general_score(config, F.col("roster_known")))
-    order = W.partitionBy("as_of", "roster_known").orderBy(F.desc("general"), F.desc("published_at"), "url")
-    best = judged.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= config.top_n)
-    best = best.filter(F.col("general") >= config.min_relevance)
-    article_side = ["as_of", "url", *[c for c in ARTICLE_COLUMNS if c != "url"]]
+    o, d = F.upper("origin"), F.upper("destination")
+    ends = F.concat(F.lit("A:"), F.least(o, d), F.lit("|"), F.greatest(o, d))
+    route = F.array(F.concat(F.lit("R:"), F.upper("route")), F.concat(F.lit("R:"), d, F.lit("-"), o))
+    places = F.concat(F.array(F.lit(""), F.concat(F.lit("A:"), o), F.concat(F.lit("A:"), d), ends), route)
+    roster = tidy(F.col("airlines_on_route")) if has_roster else F.array().cast("array<string>")
+    roster = F.coalesce(roster, F.array().cast("array<string>"))
+    carriers = F.concat(F.array(F.lit("")), F.transform(roster, lambda x: F.concat(F.lit("L:"), x)))
+    met = F.flatten(F.transform(places, lambda p: F.transform(carriers, lambda c: F.concat(p, F.lit("#"), c))))
     known = F.col("airlines_on_route").isNotNull() if has_roster else F.lit(False)
-    general = (
-        moves.withColumn("roster_known", known)
-        .join(best.select("roster_known", *article_side), ["as_of", "roster_known"])
-        .drop("roster_known")
-    )
-
-    def tags(prefix: str, values: Column) -> Column:
-        return F.transform(values, lambda x: F.concat(F.lit(prefix), x))
+    asked = moves.withColumn("roster_known", known).withColumn("meeting", F.explode(F.array_distinct(F.array_compact(met))))
+    pairs = asked.join(lists, ["as_of", "roster_known", "meeting"]).drop("roster_known", "meeting")
 
-    article_tags = F.concat(tags("A:", F.col("t_airports")), tags("R:", F.col("t_routes")))
-    o, d = F.upper("origin"), F.upper("destination")
-    move_tags = F.concat(
-        tags("A:", F.array(o, d)), tags("R:", F.array(F.upper("route"), F.concat_ws("-", d, o)))
-    )
-    if has_roster:
-        article_tags = F.concat(article_tags, tags("L:", F.col("t_airlines")))
-        move_tags = F.concat(move_tags, tags("L:", tidy(F.col("airlines_on_route"))))
-    left = moves.withColumn("tag", F.explode(F.array_distinct(move_tags)))
-    right = tagged.withColumn("tag", F.explode(F.array_distinct(article_tags))).select(*article_side, "tag")
-    named = left.join(right, ["as_of", "tag"]).drop("tag")
-
-    pairs = general.unionByName(named)
     scored = score(pairs, config).filter(F.col("relevance_score") >= config.min_relevance)
     rest = [c for c in scored.columns if c not in (*MOVEMENT_KEY, "url")]
     single = scored.groupBy(*MOVEMENT_KEY, "url").agg(F.min(F.struct(*rest)).alias("row"))

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from conftest import month_quotes, quote_rows
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fareloom import IndexConfig, MatchingConfig
@@ -188,3 +190,36 @@ def test_stream_batches_equal_one_batch_and_replay_is_harmless(spark, tmp_path):
         apply(batch, number)
     row = spark.read.parquet(str(tmp_path / "f")).first()
     assert row["observations_used"] == 5 and row["representative_fare"] == 3.0
+
+
+@pytest.mark.parametrize("top_n", [1, 3])
+def test_ranking_equals_all_pairs(spark, top_n):
+    """Many articles that share airports, routes and carriers in every combination, with ties and near-equal dates."""
+    rng = random.Random(top_n)
+    places, lines = ["DEL", "BOM", "BLR", "MAA", "CCU"], ["IndiGo", "Vistara", "Akasa Air"]
+    some = lambda values, most: rng.sample(values, rng.randrange(most + 1))
+    rows = []
+    for i in range(400):
+        ends = rng.sample(places, 2)
+        routes = [f"{ends[0]}-{ends[1]}"] if rng.random() < 0.3 else []
+        when = f"2026-03-{rng.randrange(1, 29):02d} {rng.choice(['00:00:00', '00:00:20', '12:00:00'])}"
+        tags = [t.lower() if rng.random() < 0.2 else t for t in some(places, 4)]
+        rows.append((f"h{i}", when, f"http://x/{i}", rng.choice(["OTHER", "FUEL", "DEMAND", "WEATHER"]), some(lines, 2) or None, tags, routes))
+    schema = "headline string, published_at string, url string, event_type string, related_airlines array<string>, related_airports array<string>, related_routes array<string>"
+    articles = spark.createDataFrame(rows, schema).withColumn("published_at", F.to_timestamp("published_at"))
+    moved = [
+        (f"{a}-{b}", a, b, f"2026-03-{day}", rng.choice([None, [], ["Indigo "], ["Vistara", "Akasa Air"]]))
+        for a in places for b in places if a != b for day in (10, 15)
+    ]
+    moves = spark.createDataFrame(moved, "route string, origin string, destination string, period string, airlines_on_route array<string>")
+    moves = moves.withColumns({"metric": F.lit("mom"), "as_of": F.to_timestamp("period")})
+    config = MatchingConfig(top_n=top_n)
+    nearby = news.in_window(moves, news.with_article_columns(articles), config.date_window_days)
+    every = news.score(moves.join(nearby, "as_of"), config).filter(F.col("relevance_score") >= config.min_relevance)
+    best = Window.partitionBy("route", "period").orderBy(F.desc("relevance_score"), F.desc("published_at"), "url")
+    every = every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_n)
+    columns = ("route", "period", "rank", "url", "relevance_score")
+    got = sorted(tuple(r) for r in news.rank_articles(moves, articles, config).select(*columns).collect())
+    assert got == sorted(tuple(r) for r in every.select(*columns).collect()) and len(got) > 20 * top_n
+    lists = news.top_lists(news.first_by_url(nearby), config, True).groupBy("as_of", "roster_known", "meeting").count()
+    assert lists.agg(F.max("count")).first()[0] <= top_n
