@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import TRUNK_CITIES
+from ..constants import METROS, TRUNK_CITIES
 from ..operators import coverage, ranking
 from ..operators import traffic as T
 from ..plans import comparisons
@@ -153,6 +153,48 @@ def _diagnostics(spark, sf):
     )
 
 
+@query(
+    "traffic_rejections",
+    f"""WITH spoiled AS ({_SPOILED}), twice AS (SELECT * FROM spoiled UNION ALL SELECT * FROM spoiled WHERE "Month" = 5),
+    c AS (SELECT *, CASE WHEN trim("City1") = '' OR trim("City2") = '' THEN 'MISSING_CITY'
+    WHEN upper(trim("City1")) = upper(trim("City2")) THEN 'SAME_ORIGIN_DESTINATION' WHEN "Month" NOT BETWEEN 1 AND 12 THEN 'INVALID_MONTH'
+    WHEN "Year" NOT BETWEEN 1990 AND 2100 THEN 'INVALID_YEAR' WHEN "PaxToCity2" < 0 OR "PaxFromCity2" < 0 THEN 'INVALID_PASSENGER_COUNT' END AS reason FROM twice),
+    r AS (SELECT reason, count(*) AS n FROM c WHERE reason IS NOT NULL GROUP BY 1 UNION ALL
+      SELECT 'DUPLICATE_TRAFFIC_RECORD', sum(x - 1) FROM (SELECT count(*) AS x FROM c WHERE reason IS NULL GROUP BY "Year", "Month", upper(trim("City1")), upper(trim("City2"))))
+    SELECT (SELECT count(*) FROM twice) AS records_received, CAST(sum(n) AS BIGINT) AS records_rejected,
+    string_agg(reason || ':' || CAST(n AS BIGINT), ',' ORDER BY reason) AS rejection_reasons FROM r""",
+)
+def _rejections(spark, sf):
+    """Diagnostics of records with planted defects and repeats: every reason with its count."""
+    rows = spoiled(spark, sf)
+    _, row = T.build_weights(rows.unionByName(rows.filter(F.col("Month") == 5)), covered_codes(spark, sf))
+    listed = F.transform(F.map_entries("rejection_reasons"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return row.select("records_received", F.col("records_rejected").cast("long").alias("records_rejected"), F.array_join(listed, ",").alias("rejection_reasons"))
+
+
+_RULE = f"""CASE WHEN a IN {S.names(METROS)} AND b IN {S.names(METROS)} THEN 3.0 ELSE 1.0 END"""
+_CODE_PAIRS = f"""(SELECT DISTINCT {S.array(S.NATION_CODES)}[s_nationkey + 1] AS a, {S.array(S.NATION_CODES)}[c_nationkey + 1] AS b FROM lineitem
+  JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
+
+
+@query(
+    "traffic_weights_fallback",
+    CTES
+    + f""", cp AS {_CODE_PAIRS}
+    SELECT 'mapped' AS kind, a.code AS origin, b.code AS destination, {S.r('cw', 10)} AS weight, true AS is_real
+      FROM covered JOIN codes a ON a.city = origin JOIN codes b ON b.city = destination
+    UNION ALL SELECT 'unmapped', a, b, {_RULE}, false FROM (SELECT * FROM cp UNION ALL SELECT 'DEL', 'QQQ')
+    UNION ALL SELECT 'uncovered', a, b, {_RULE}, false FROM cp WHERE a = b""",
+)
+def _fallback(spark, sf):
+    """All routes mapped; one code that no city has; only routes within a city, which no traffic covers."""
+    raw, routes = V.traffic(spark, sf), covered_codes(spark, sf)
+    odd = routes.unionByName(spark.createDataFrame([("DEL", "QQQ")], "origin string, destination string"))
+    cases = {"mapped": routes, "unmapped": odd, "uncovered": routes.filter("origin = destination")}
+    parts = [T.weights_or_metro(raw, r).select(F.lit(k).alias("kind"), "origin", "destination", rd("weight", 10), "is_real") for k, r in cases.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "ranked_routes",
     CTES + f"SELECT rank, origin, destination, {S.r('w', 8)} AS national_weight, {S.r('cum', 8)} AS cumulative_coverage FROM ranked",

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..constants import AIRPORTS
 from ..functions import columns as C
-from .cleaning import first_per_key
+from ..session import stage
+from .weights import metro_weights
 
 REQUIRED = ("Year", "Month", "City1", "City2", "PaxToCity2", "PaxFromCity2")
 RECORD_KEY = ("Year", "Month", "City1", "City2")
@@ -45,21 +46,40 @@ def _checked(df: DataFrame) -> DataFrame:
     return work.withColumn("rejection_reason", C.first_reason(rules))
 
 
+def tally(df: DataFrame, order_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Raw records in one pass: a row per valid (Year, Month, City1, City2), the first by `order_cols`, then by value, with its
+    copies `n`; and a row per rejection reason with null keys. Combines before the shuffle, so no reason is a hot key."""
+    work = _checked(df)
+    good = F.col("rejection_reason").isNull()
+    rest = [c for c in (*order_cols, *work.columns) if c not in (*RECORD_KEY, "rejection_reason")]
+    keyed = work.withColumns({c: F.when(good, F.col(c)) for c in RECORD_KEY})
+    grouped = keyed.groupBy("rejection_reason", *RECORD_KEY).agg(
+        F.min(F.struct(*dict.fromkeys(rest))).alias("kept"), F.count(F.lit(1)).alias("n")
+    )
+    columns = [c for c in df.columns if c not in RECORD_KEY]
+    return grouped.select("rejection_reason", *RECORD_KEY, *[F.col(f"kept.{c}").alias(c) for c in columns], "n")
+
+
+def _valid(tallied: DataFrame) -> DataFrame:
+    return tallied.filter(F.col("rejection_reason").isNull()).drop("rejection_reason", "n")
+
+
 def validate_traffic(df: DataFrame, order_cols: tuple[str, ...] = ()) -> DataFrame:
     """Usable records, one per (Year, Month, City1, City2): the first by `order_cols`, then by value."""
-    good = _checked(df).filter(F.col("rejection_reason").isNull()).drop("rejection_reason")
-    return first_per_key(good, list(RECORD_KEY), order_cols)
+    return _valid(tally(df, order_cols)).select(*df.columns)
+
+
+def _reasons(tallied: DataFrame) -> DataFrame:
+    """(reason, n) of a tally: rejected records, and copies of valid ones beyond the first."""
+    repeated = F.col("rejection_reason").isNull()
+    reason = F.coalesce("rejection_reason", F.lit("DUPLICATE_TRAFFIC_RECORD"))
+    amount = F.sum(F.col("n") - F.when(repeated, 1).otherwise(0))
+    return tallied.groupBy(reason.alias("reason")).agg(amount.cast("long").alias("n")).filter(F.col("n") > 0)
 
 
 def rejection_counts(df: DataFrame) -> DataFrame:
     """(reason, n); repeats of a valid record count as DUPLICATE_TRAFFIC_RECORD."""
-    work = _checked(df)
-    bad = work.filter(F.col("rejection_reason").isNotNull()).groupBy(F.col("rejection_reason").alias("reason"))
-    good = work.filter(F.col("rejection_reason").isNull()).groupBy(*RECORD_KEY).agg((F.count(F.lit(1)) - 1).alias("x"))
-    repeats = good.agg(F.coalesce(F.sum("x"), F.lit(0)).alias("n")).filter(F.col("n") > 0)
-    return bad.agg(F.count(F.lit(1)).alias("n")).unionByName(
-        repeats.select(F.lit("DUPLICATE_TRAFFIC_RECORD").alias("reason"), "n")
-    )
+    return _reasons(tally(df))
 
 
 def to_directional(valid: DataFrame, source: str) -> DataFrame:
@@ -146,9 +166,10 @@ def to_engine_weights(covered: DataFrame, cities: DataFrame, first: Column, last
     )
 
 
-def diagnostics(df: DataFrame, weights: DataFrame, covered: DataFrame, first: Column, last: Column) -> DataFrame:
-    """One row: window, sizes, coverage and rejected records."""
-    rejected = rejection_counts(df).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+def diagnostics(tallied: DataFrame, weights: DataFrame, covered: DataFrame, first: Column, last: Column) -> DataFrame:
+    """One row: window, sizes, coverage, rejected records and `rejection_reasons` (reason -> n)."""
+    reasons = F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n"))))
+    rejected = _reasons(tallied).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), reasons.alias("reasons"))
     covered_routes = covered.agg(F.count(F.lit(1)).alias("n")).scalar()
     return weights.agg(
         F.count(F.lit(1)).alias("total_routes_in_window"), F.sum("passengers").alias("total_passengers_in_window")
@@ -158,12 +179,22 @@ def diagnostics(df: DataFrame, weights: DataFrame, covered: DataFrame, first: Co
             "weight_period_end": C.period_text(last),
             "covered_routes": covered_routes,
             "traffic_weight_coverage": weight_coverage(covered).scalar(),
-            "records_received": df.agg(F.count(F.lit(1)).alias("n")).scalar(),
-            "records_rejected": rejected,
+            "records_received": tallied.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar(),
+            "records_rejected": rejected.select("n").scalar(),
+            "rejection_reasons": rejected.select("reasons").scalar(),
         }
     )
 
 
+def _covered(tallied: DataFrame, pairs: DataFrame, months: int, end_period: str | None):
+    """(national weights, covered subset, first month, last month) of a window that ends at the latest month of the data."""
+    directed = to_directional(_valid(tallied), "TRAFFIC")
+    last = F.lit(C.period_ord(end_period)) if end_period else latest_month(directed)
+    first = last - (months - 1)
+    weights = stage(national_weights(aggregate(directed, first, last)), "traffic-weights")
+    return weights, covered_subset(weights, pairs), first, last
+
+
 def build_weights(
     df: DataFrame,
     covered_routes: DataFrame,
@@ -171,14 +202,38 @@ def build_weights(
     end_period: str | None = None,
     source: str = "TRAFFIC_DERIVED",
 ) -> tuple[DataFrame, DataFrame]:
-    """(index weights, diagnostics) from raw traffic and the code pairs that quotes cover."""
-    directed = to_directional(validate_traffic(df), "TRAFFIC")
-    last = F.lit(C.period_ord(end_period)) if end_period else latest_month(directed)
-    first = last - (months - 1)
-    weights = national_weights(aggregate(directed, first, last))
+    """(index weights, diagnostics) from raw traffic and the code pairs that quotes cover.
+
+    The raw records are read once, into a staged tally of valid records and reasons, which all that follows reads. A code without a
+    city fails the query.
+    """
     cities = city_map(df.sparkSession)
-    covered = covered_subset(weights, to_city_pairs(covered_routes, cities))
+    tallied = stage(tally(df), "traffic-tally")
+    weights, covered, first, last = _covered(tallied, to_city_pairs(covered_routes, cities), months, end_period)
     return (
         to_engine_weights(covered, cities, first, last, source),
-        diagnostics(df, weights, covered, first, last),
+        diagnostics(tallied, weights, covered, first, last),
     )
+
+
+def weights_or_metro(df: DataFrame, covered_routes: DataFrame, months: int = 12, end_period: str | None = None) -> DataFrame:
+    """Traffic weights with `is_real`; the metro rule for all routes if one has an unmapped code or traffic covers none.
+
+    The choice is made inside the plan, by two counts over the routes.
+    """
+    cities = city_map(df.sparkSession)
+    routes = covered_routes.select(F.upper("origin").alias("origin"), F.upper("destination").alias("destination")).distinct()
+    routes = stage(routes, "covered-routes")
+    ends = routes.select(F.explode(F.array("origin", "destination")).alias("code")).distinct()
+    unmapped = ends.join(cities, "code", "left_anti").agg(F.count(F.lit(1)).alias("n")).scalar()
+    named = routes
+    for end in ("origin", "destination"):
+        named = named.join(cities.select(F.col("code").alias(end), F.col("city").alias(f"{end}_city")), end)
+    pairs = named.select(F.col("origin_city").alias("origin"), F.col("destination_city").alias("destination"))
+    _, covered, first, last = _covered(stage(tally(df), "traffic-tally"), pairs, months, end_period)
+    covered = stage(covered, "traffic-covered")
+    usable = (unmapped == 0) & (covered.agg(F.count(F.lit(1)).alias("n")).scalar() > 0)
+    columns = ["origin", "destination", "weight", "effective_from", "effective_to", "source"]
+    real = to_engine_weights(covered, cities, first, last, "TRAFFIC_DERIVED").select(*columns, F.lit(True).alias("is_real"))
+    rule = metro_weights(routes.select(C.route_of(F.col("origin"), F.col("destination")).alias("route")))
+    return real.filter(usable).unionByName(rule.select(*columns, F.lit(False).alias("is_real")).filter(~usable))
