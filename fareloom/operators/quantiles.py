@@ -11,19 +11,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BIN_WIDTH = 16.0
 
 
+def value_bin(value: str) -> Column:
+    return F.floor(F.col(value) / BIN_WIDTH)
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """(keys, bin, value, n): one row per distinct value of a group."""
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     return (
         df.filter(F.col(value).isNotNull())
-        .withColumn("bin", F.floor(F.col(value) / BIN_WIDTH))
+        .withColumn("bin", value_bin(value))
         .groupBy(*keys, "bin", value)
         .agg(amount.cast("long").alias("n"))
     )

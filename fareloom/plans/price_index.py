@@ -15,10 +15,16 @@ from pyspark.sql import functions as F
 from ..config import IndexConfig, VolatilityConfig
 from ..functions import columns as C
 from ..operators import cleaning, facts, indices, volatility
+from ..operators.constraints import guarded
+from ..operators.quantiles import value_bin
 from ..operators.validation import enrich, with_rejection_reason
 from ..session import stage
 
 
+#: Outcome of usable rows outside the wanted booking horizon.
+LEFT_OUT = "LEFT_OUT"
+
+
 @dataclass(frozen=True)
 class PriceIndex:
     """All results of one set of quotes under one method configuration.
@@ -54,19 +60,33 @@ class PriceIndex:
         slim = [c for c in self.valid.columns if c not in ("airline", "currency")]
         return enrich(self.valid.select(*slim), self.config)
 
+    # --- counts ------------------------------------------------------------------------------
+
     @cached_property
-    def unique(self) -> DataFrame:
-        needed = ("observation_id", "route", "month_ord", "booking_horizon_bucket", "standardized_fare")
-        order = [c for c in self.order_cols if c in self.enriched.columns and c not in needed]
-        return cleaning.drop_duplicates(self.enriched.select(*needed, *order), self.order_cols)
+    def tally(self) -> DataFrame:
+        """(outcome, route, month, bucket, fare) -> n, rows; staged. The one pass over the quotes.
 
-    # --- counts ------------------------------------------------------------------------------
+        `outcome` is null for rows that count; others have their rejection reason, or LEFT_OUT by the horizon filter, and no
+        key but that. `n` are ids and `rows` the rows they came in: what the dedup drops stays known.
+        """
+        keys = ("route", "month_ord", "booking_horizon_bucket")
+        rows = enrich(self.checked, replace(self.config, booking_horizon_filter=None))
+        wanted = self.config.booking_horizon_filter
+        left_out = ~F.coalesce(F.col("booking_horizon_bucket") == wanted, F.lit(False)) if wanted else F.lit(False)
+        outcome = F.coalesce("rejection_reason", F.when(left_out, LEFT_OUT))
+        order = [c for c in self.order_cols if c in rows.columns]
+        columns = dict.fromkeys(["observation_id", *keys, "standardized_fare", *order])
+        counted = rows.withColumn("outcome", outcome)
+        counted = counted.select("outcome", *[F.when(F.col("outcome").isNull(), F.col(c)).alias(c) for c in columns])
+        unique = cleaning.first_per_key(counted, ["outcome", "observation_id"], self.order_cols, count_as="rows")
+        fare = "standardized_fare"
+        per_fare = unique.groupBy("outcome", *keys, value_bin(fare).alias("bin"), fare)
+        return stage(per_fare.agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")), "fare-counts")
 
     @cached_property
     def counts(self) -> DataFrame:
-        """(route, month, bucket, fare) -> n, staged."""
-        keys = ("route", "month_ord", "booking_horizon_bucket")
-        return stage(cleaning.fare_counts(self.unique, keys), "fare-counts")
+        """(route, month, bucket, fare) -> n of the rows that count."""
+        return self.tally.filter(F.col("outcome").isNull() & F.col("standardized_fare").isNotNull()).drop("outcome", "rows")
 
     @cached_property
     def flagged(self) -> DataFrame:
@@ -123,15 +143,14 @@ class PriceIndex:
         return volatility.route_volatility(self.kept, self.volatility_config)
 
     def cleaning_report(self) -> DataFrame:
-        """(reason, n): received, valid, removed and every reason that occurs.
+        """(reason, n): received, valid, removed and every reason that occurs, from the staged tally alone.
 
         Rows a horizon filter leaves out are in `removed` but have no reason of their own.
         """
-        reasons = self.checked.groupBy(F.coalesce("rejection_reason", F.lit("VALIDATED")).alias("reason")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        ids = self.enriched.groupBy("observation_id").agg((F.count(F.lit(1)) - 1).alias("extra"))
-        repeated = ids.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("n")).select(F.lit("DUPLICATE").alias("reason"), "n")
+        counts = F.col("outcome").isNull()
+        reasons = self.tally.groupBy(F.coalesce("outcome", F.lit("VALIDATED")).alias("reason")).agg(F.sum("rows").alias("n"))
+        extra = F.coalesce(F.sum(F.when(counts, F.col("rows") - F.col("n"))), F.lit(0))
+        repeated = self.tally.agg(extra.alias("n")).select(F.lit("DUPLICATE").alias("reason"), "n")
         outliers = self.flagged.groupBy("is_outlier").agg(F.sum("n").alias("n"))
         label = F.when(F.col("is_outlier"), F.lit(f"OUTLIER_{self.config.outlier_method.upper()}")).otherwise("valid")
         parts = reasons.unionByName(repeated).unionByName(outliers.select(label.alias("reason"), "n"))
@@ -152,7 +171,7 @@ class PriceIndex:
                 )
             ).alias("s")
         ).select("s.*")
-        detail = parts.filter(~F.col("reason").isin("VALIDATED", "valid") & (F.col("n") > 0))
+        detail = parts.filter(~F.col("reason").isin("VALIDATED", LEFT_OUT, "valid") & (F.col("n") > 0))
         return detail.unionByName(summary)
 
     def summary(self, current: str) -> DataFrame:
@@ -178,10 +197,13 @@ class PriceIndex:
         flags = indices.quality_flags(F.col("observations_rejected"), F.col("observations_received"))
         return out.withColumn("quality_flags", flags)
 
-    def require_survivors(self) -> None:
-        """Raise when nothing survived validation and cleaning."""
-        if self.counts.isEmpty():
-            raise ValueError("no observation survived validation and cleaning")
+    def require_survivors(self) -> "PriceIndex":
+        """The same index; queries over its counts fail when nothing survived validation and cleaning."""
+        found = self.counts.agg(F.count(F.lit(1)).alias("n"))
+        problem = F.when(F.col("n") == 0, "no observation survived validation and cleaning")
+        checked = replace(self)
+        checked.__dict__["counts"] = guarded(self.counts, found.select(problem.alias("problem")))
+        return checked
 
     def with_config(self, **changes) -> "PriceIndex":
         return PriceIndex(

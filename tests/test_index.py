@@ -172,5 +172,21 @@ def test_config_is_checked():
 
 def test_nothing_left_is_an_error(spark):
     index = PriceIndex(quote_rows(spark, month_quotes("DEL-DEL", BASE, [1.0])), IndexConfig(BASE))
-    with pytest.raises(ValueError):
-        index.require_survivors()
+    with pytest.raises(Exception, match="no observation survived"):
+        index.require_survivors().national().collect()
+    good = PriceIndex(quote_rows(spark, month_quotes("DEL-BOM", BASE, [1.0] * 5)), IndexConfig(BASE))
+    assert good.require_survivors().national().count() == 1
+
+
+def test_reports_read_the_quotes_once(spark, tmp_path):
+    rows = month_quotes("DEL-BOM", BASE, [100.0] * 6 + [9000.0]) + month_quotes("DEL-BOM", BASE, [100.0]) + month_quotes("DEL-DEL", BASE, [1.0] * 3)
+    path = str(tmp_path / "quotes")
+    quote_rows(spark, rows).write.parquet(path)
+    for options in ({}, {"booking_horizon_filter": "8-14"}):
+        index = PriceIndex(spark.read.parquet(path), IndexConfig(BASE, **options))
+        report = index.cleaning_report()
+        assert path not in report._jdf.queryExecution().executedPlan().toString()  # the staged tally alone
+        got = {r["reason"]: r["n"] for r in report.collect()}
+        assert got["received"] == 11 and got["removed"] == 11 - got["valid"] and got["SAME_ORIGIN_DESTINATION"] == 3
+        assert got["DUPLICATE"] == 1 and "LEFT_OUT" not in got
+        assert path not in index.summary(BASE)._jdf.queryExecution().executedPlan().toString()
