@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import IndexConfig
 from ..constants import MONTH_NAMES
 from ..operators import benchmark, collection, forecast
 from ..plans import panel
-from ..session import tune
+from ..session import shared_dir, tune
 from ..sources import domain_views as V
-from ..sources.landed import official_series
+from ..sources.landed import load_official_series, official_series
 from . import views as S
 from .index import IN_RANGE, price_index, rd
 
@@ -343,23 +345,25 @@ _CPI = """cpi AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS m, floor
  (year(o_orderdate) * 12 + month(o_orderdate)) % 7 = 0 AS imputed FROM orders GROUP BY 1)"""
 
 
-def cpi(spark, sf):
+def cpi_rows(spark, sf):
     day = F.col("o_orderdate").cast("date")
     m = F.year(day) * 12 + F.month(day)
     monthly = V.table(spark, sf, "orders").groupBy(F.year(day).alias("year"), F.month(day).alias("mo"), m.alias("m"))
     rows = monthly.agg((F.floor(F.avg("o_totalprice")) / 1000).alias("index"))
-    return official_series(
-        rows.select(
-            "year",
-            V.pick(MONTH_NAMES, F.col("mo") - 1).alias("month"),
-            "index",
-            F.lit(None).cast("double").alias("inflation"),
-            F.when(F.col("m") % 7 == 0, "Y").otherwise(" n ").alias("imputation"),
-            F.lit(2012).alias("base_year"),
-        )
+    return rows.select(
+        "year",
+        V.pick(MONTH_NAMES, F.col("mo") - 1).alias("month"),
+        "index",
+        F.lit(None).cast("double").alias("inflation"),
+        F.when(F.col("m") % 7 == 0, "Y").otherwise(" n ").alias("imputation"),
+        F.lit(2012).alias("base_year"),
     )
 
 
+def cpi(spark, sf):
+    return official_series(cpi_rows(spark, sf))
+
+
 @query(
     "official_series",
     f"WITH {_CPI} SELECT {S.period('m')} AS period, {S.r('ix', 4)} AS index, imputed FROM cpi",
@@ -368,6 +372,17 @@ def _official(spark, sf):
     return cpi(spark, sf).select("period", rd("index", 4), "imputed")
 
 
+@query(
+    "official_series_file",
+    f"WITH {_CPI} SELECT {S.period('m')} AS period, {S.r('ix', 4)} AS index, imputed, 2012 AS base_year FROM cpi",
+)
+def _official_file(spark, sf):
+    """The same series landed as a CSV file and read back by the reader."""
+    path = f"{shared_dir(spark).rstrip('/')}/official-{uuid.uuid4().hex}"
+    cpi_rows(spark, sf).write.option("header", True).csv(path)
+    return load_official_series(spark, path).select("period", rd("index", 4), "imputed", F.col("base_year").cast("int").alias("base_year"))
+
+
 _COMPARE = f""", {_CPI}, ov AS (SELECT month_ord AS m, idx AS a0, ix AS b0, NOT imputed AS inc FROM national n JOIN cpi ON cpi.m = n.month_ord WHERE idx IS NOT NULL AND n.month_ord >= (SELECT lo FROM first_month)),
 reb AS (SELECT m, inc, 100 * a0 / first_value(a0) OVER (ORDER BY m) AS a, 100 * b0 / first_value(b0) OVER (ORDER BY m) AS b FROM ov),
 cmp AS (SELECT c.*, CASE WHEN c.inc AND p.inc THEN (c.a / p.a - 1) * 100 END AS am, CASE WHEN c.inc AND p.inc THEN (c.b / p.b - 1) * 100 END AS bm,

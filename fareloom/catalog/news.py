@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import MatchingConfig
+from ..constants import EVENT_LABELS
 from ..functions.news_text import classify_event, is_valid_article
 from ..operators import news
 from ..session import stage, tune
@@ -179,17 +180,39 @@ def _factors(spark, sf):
     return rows.select("route", "period", F.array_join("factors", ",").alias("factors"))
 
 
-@query("context_records")
+_LABEL = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{label}'" for e, label in EVENT_LABELS) + " ELSE event_type END"
+
+
+@query(
+    "context_records",
+    _CONTEXT
+    + f""", listed AS (SELECT route, period, string_agg(rank || ' ' || url || ' ' || event_type || ' ' || CAST(round(score * 10000) AS BIGINT), ',' ORDER BY rank) AS news FROM ranked GROUP BY 1, 2),
+    firsts AS (SELECT route, period, {_LABEL} AS label, min(rank) AS r FROM ranked GROUP BY 1, 2, 3),
+    factors AS (SELECT route, period, string_agg(label, ',' ORDER BY r) AS factors FROM firsts GROUP BY 1, 2)
+    SELECT m.route, m.period, coalesce(news, '') AS news, coalesce(factors, '') AS factors FROM moves m LEFT JOIN listed USING (route, period) LEFT JOIN factors USING (route, period)""",
+)
 def _records(spark, sf):
     m = moves(spark, sf)
     rows = news.context_records(m, news.rank_articles(m, articles(spark, sf)))
-    return rows.select("route", "period", F.to_json("related_news").alias("news"), F.to_json("potential_related_factors").alias("factors"))
+    entry = lambda x: F.concat_ws(" ", x["rank"].cast("string"), x["url"], x["event_type"], F.round(x["relevance_score"] * 10000).cast("long").cast("string"))
+    labels = F.array_join(F.transform("potential_related_factors", lambda x: x["label"]), ",")
+    listed = F.array_join(F.transform("related_news", entry), ",")
+    return rows.select("route", "period", F.coalesce(listed, F.lit("")).alias("news"), F.coalesce(labels, F.lit("")).alias("factors"))
 
 
-@query("context_signals")
+@query(
+    "context_signals",
+    _CONTEXT
+    + """, listed AS (SELECT route, period, count(*) AS n, string_agg(url, ',' ORDER BY rank) AS urls FROM ranked GROUP BY 1, 2)
+    SELECT route, period, 'mom' AS metric, 'news' AS signal_name, coalesce(urls, '') AS items,
+      CASE WHEN n > 0 THEN n || ' related article(s)' ELSE 'no related article' END AS summary FROM moves LEFT JOIN listed USING (route, period)
+    UNION ALL SELECT route, period, 'mom', 'size', '', CASE WHEN abs(change_pct) >= 10 THEN 'large' ELSE 'moderate' END FROM moves""",
+)
 def _signals(spark, sf):
     providers = [news.news_signal(articles(spark, sf)), _movement_size]
-    return news.combine_signals(moves(spark, sf), providers)
+    rows = news.combine_signals(moves(spark, sf), providers)
+    urls = F.transform(F.from_json("items", "array<struct<url string>>"), lambda x: x["url"])
+    return rows.withColumn("items", F.array_join(urls, ","))
 
 
 def _movement_size(rows):

@@ -106,7 +106,7 @@ CALLS = f"""SELECT event_id AS call_id, 'source_' || (user_id % 5) AS source,
     WHEN 'view' THEN 'TIMEOUT' ELSE 'RATE_LIMITED' END AS status,
   CASE WHEN event_type = 'purchase' THEN event_id % 4 + 1 ELSE 0 END AS n_observations, ts AS called_at FROM events"""
 
-ARTICLES = f"""SELECT regexp_replace(split_part(text, '.', 1), '\\s+', ' ', 'g') AS headline, source,
+ARTICLES = f"""SELECT regexp_replace(coalesce(nullif(regexp_extract(text, '[^.]*[^.\\x20\\x09-\\x0D][^.]*', 0), ''), text), '\\s+', ' ', 'g') AS headline, source,
   TIMESTAMP '1998-01-01 00:00:00' + to_days(CAST(doc_id % 700 AS INTEGER)) AS published_at,
   'https://news.example.org/a/' || (doc_id // 2) AS url,
   CASE WHEN doc_id % 3 <> 0 THEN [{array(REGION_CODES)}[doc_id % 5 + 1]] ELSE [] END AS related_airports,

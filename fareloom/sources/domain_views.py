@@ -191,7 +191,9 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = pick(REGION_CODES, doc % 5), pick(REGION_CODES, F.floor(doc / 5) % 5)
     tagged = doc % 3 != 0
     none = F.array().cast("array<string>")
-    headline = F.regexp_replace(F.substring_index("text", ".", 1), r"\s+", " ")  # the first sentence
+    # the first sentence that isn't blank, or the whole text where there is none
+    first = F.regexp_extract("text", r"[^.]*[^.\x20\x09-\x0D][^.]*", 0)
+    headline = F.regexp_replace(F.when(first != "", first).otherwise(F.col("text")), r"\s+", " ")
     return table(spark, sf_dir, "documents").select(
         headline.alias("headline"),
         F.col("source"),

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..constants import MONTH_NAMES
 from ..functions import columns as C
+from ..operators.constraints import guarded
 from . import schemas
 
 ENVELOPE_VERSION = "1.0"
@@ -105,8 +106,8 @@ def read_weights_csv(spark: SparkSession, path: str) -> DataFrame:
 def official_series(df: DataFrame) -> DataFrame:
     """An official price series by month: month names to numbers, imputation flag, sorted by month.
 
-    Unknown month names, repeated months or several base years are an error, found by one
-    aggregate over the (one row per month) table.
+    Unknown month names, repeated months or several base years fail the query, found by one aggregate over the (one row per
+    month) table inside the same plan.
     """
     missing = [c for c in ("year", "month", "index", "inflation", "imputation", "base_year") if c not in df.columns]
     if missing:
@@ -117,16 +118,17 @@ def official_series(df: DataFrame) -> DataFrame:
     )
     work = df.withColumn("month_ord", F.col("year") * 12 + number)
     problems = work.agg(
-        F.count_if(F.col("month_ord").isNull()).alias("unknown"),
+        F.sort_array(F.collect_set(F.when(F.col("month_ord").isNull(), F.coalesce(name, F.lit("null"))))).alias("unknown"),
         (F.count("month_ord") - F.count_distinct("month_ord")).alias("repeated"),
         F.count_distinct("base_year").alias("bases"),
-    ).first()
-    if problems["unknown"]:
-        raise ValueError(f"{problems['unknown']} row(s) with an unknown month name")
-    if problems["repeated"]:
-        raise ValueError(f"{problems['repeated']} repeated month(s)")
-    if problems["bases"] != 1:
-        raise ValueError(f"expected one base year, found {problems['bases']}")
+    )
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    problem = (
+        F.when(F.size("unknown") > 0, text("unknown month names: ", F.array_join("unknown", ", ")))
+        .when(F.col("repeated") > 0, text(F.col("repeated").cast("string"), " repeated month(s)"))
+        .when(F.col("bases") != 1, text("expected one base year, found ", F.col("bases").cast("string")))
+    )
+    work = guarded(work, problems.select(problem.alias("problem")))
     return work.withColumns(
         {
             "period": C.period_text(F.col("month_ord")),
@@ -136,10 +138,12 @@ def official_series(df: DataFrame) -> DataFrame:
 
 
 def load_official_series(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or Parquet file of the official series."""
+    """CSV or Parquet file of the official series. A number that can't be read is null; a year like that is an unknown month."""
     if path.rstrip("/").endswith(".parquet"):
         return official_series(spark.read.parquet(path))
-    return official_series(spark.read.schema(schemas.OFFICIAL_SERIES).csv(path, header=True))
+    raw = spark.read.csv(path, header=True)  # by name: a column that is missing must not shift the others
+    kinds = {f.name: f.dataType for f in schemas.OFFICIAL_SERIES}
+    return official_series(raw.select(*[F.col(c).try_cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in raw.columns]))
 
 
 def load_routes(spark: SparkSession, path: str, tiers: Sequence[int] = (1, 2, 3)) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fareloom import IndexConfig
 from fareloom.operators import collection, constraints, forecast, indices, news, weights
 from fareloom.plans.panel import booking_window_panels
+from fareloom.sources import landed
 
 
 def months(spark, rows):
@@ -115,3 +116,28 @@ def test_an_index_with_overlapping_weights_fails(spark):
     table = spark.createDataFrame([("DEL", "BOM", 1.0, None, None), ("DEL", "BOM", 2.0, "2020-01-01", None)], WEIGHTS)
     with pytest.raises(Exception, match="weights of DEL-BOM overlap from 2020-01-01"):
         indices.route_indices(facts, config, "2026-01", "2026-01", table).collect()
+
+
+def series_file(tmp_path, name, rows, header="year,month,index,inflation,imputation,base_year"):
+    path = tmp_path / name
+    path.write_text("\n".join([header, *rows]) + "\n")
+    return str(path)
+
+
+def test_official_series_of_a_file_and_its_errors(spark, tmp_path):
+    rows = ["2026,February,101.5,,N,2024", "2026, January ,100.0,2.5,Y,2024"]
+    good = landed.load_official_series(spark, series_file(tmp_path, "good.csv", rows))
+    assert sorted((r["period"], r["index"], r["inflation"], r["imputed"]) for r in good.collect()) == [("2026-01", 100.0, 2.5, True), ("2026-02", 101.5, None, False)]
+    cases = {
+        "unknown month names: Foo": [*rows, "2026,Foo,1,,N,2024"],
+        "1 repeated month": [*rows, "2026,January,1,,N,2024"],
+        "expected one base year, found 2": [*rows, "2026,March,1,,N,2012"],
+    }
+    for n, (message, lines) in enumerate(cases.items()):
+        broken = landed.load_official_series(spark, series_file(tmp_path, f"{n}.csv", lines))
+        with pytest.raises(Exception, match=message):
+            broken.select("period").collect()
+    with pytest.raises(ValueError, match="lacks columns: \\['index'\\]"):  # not read from the column next to it
+        landed.load_official_series(spark, series_file(tmp_path, "short.csv", ["2026,May,1,N,2024"], "year,month,inflation,imputation,base_year"))
+    good.write.parquet(str(tmp_path / "again.parquet"))
+    assert landed.load_official_series(spark, str(tmp_path / "again.parquet")).count() == 2
