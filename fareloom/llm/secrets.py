@@ -19,6 +19,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,8 @@ DOTTED = re.compile(r"\.(?=([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*))")
 BYTE_MARKS = (b"\xef\xbb\xbf", b"\xff\xfe", b"\xfe\xff")
 TOKEN_CUT = re.compile(r"[_-]")
 OPENSSH = b"openssh-key-v1\0"
+#: Most elements of a level of a key, and most keys of a container; the layouts in use have ten and one.
+MOST_ELEMENTS = 64
 INTEGER, OCTETS, OBJECT_ID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 
 
@@ -63,80 +67,95 @@ def from_base64(text: str) -> bytes | None:
         return None
 
 
-def elements(data: bytes) -> list[tuple[int, bytes]] | None:
-    """Tags and contents that fill `data` exactly, or None."""
-    found, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+Read = Callable[[int, int], bytes]  # (offset, length) -> bytes of what is examined
+
+
+def elements(read: Read, low: int, high: int, most: int = MOST_ELEMENTS) -> list[tuple[int, int, int]] | None:
+    """Tag, start and end of the contents of at most `most` elements that fill [low, high) exactly, or None.
+
+    Only tags and lengths are read, so a claimed length costs nothing.
+    """
+    found, at = [], low
+    while at < high:
+        if len(found) == most or at + 2 > high:
             return None
-        tag, size, at = data[at], data[at + 1], at + 2
+        tag, size = read(at, 2)
+        at += 2
         if size & 0x80:
             n = size & 0x7F
-            if not 1 <= n <= 4 or at + n > len(data):
+            if not 1 <= n <= 4 or at + n > high:
                 return None
-            size, at = int.from_bytes(data[at : at + n], "big"), at + n
+            size, at = int.from_bytes(read(at, n), "big"), at + n
             if size < 0x80:
                 return None
-        if at + size > len(data):
+        if at + size > high:
             return None
-        found.append((tag, data[at : at + size]))
+        found.append((tag, at, at + size))
         at += size
     return found
 
 
-def is_private_key(data: bytes | None) -> bool:
+def is_key(read: Read, size: int) -> bool:
     """A private key by its encoding: a sequence of the layouts in use, or the openssh container with its lengths."""
-    if not data or len(data) < 32:
+    if size < 32:
         return False
-    if data.startswith(OPENSSH):
+    number = lambda at: int.from_bytes(read(at, 4), "big")
+    if read(0, len(OPENSSH)) == OPENSSH:
         at = len(OPENSSH)
         for _ in range(3):  # cipher, derivation, its options
-            size = int.from_bytes(data[at : at + 4], "big")
-            at += 4 + size
-            if at + 4 > len(data):
+            at += 4 + number(at)
+            if at + 4 > size:
                 return False
-        return int.from_bytes(data[at : at + 4], "big") >= 1
-    if data[0] != SEQUENCE:
-        return False
-    outer = elements(data)
-    inner = elements(outer[0][1]) if outer and len(outer) == 1 else None
+        return number(at) >= 1
+    outer = elements(read, 0, size, 1)
+    inner = elements(read, *outer[0][1:]) if outer and outer[0][0] == SEQUENCE else None
     if not inner or len(inner) < 3:
         return False
-    tags = [t for t, _ in inner]
-    version = inner[0][1]
+    tags = [t for t, _, _ in inner]
+    _, low, high = inner[0]
+    version = read(low, 1) if high - low == 1 else b""
     if tags[:9] == [INTEGER] * 9:  # numbers of a key with their version
         return version in (b"\0", b"\1") and len(inner) <= 10
     if tags[:6] == [INTEGER] * 6 and len(inner) == 6:
         return version == b"\0"
     if tags[:3] == [INTEGER, SEQUENCE, OCTETS] and version in (b"\0", b"\1"):  # algorithm, then the key
-        algorithm = elements(inner[1][1])
+        algorithm = elements(read, *inner[1][1:])
         return bool(algorithm) and algorithm[0][0] == OBJECT_ID
-    return tags[:2] == [INTEGER, OCTETS] and version == b"\1" and len(inner[1][1]) >= 20  # a curve's number
-
-
-def required(data: bytes) -> int | None:
-    """Bytes that a key needs as far as the lengths in `data`, its beginning of 15 or more, tell; None if it is none."""
-    if data.startswith(OPENSSH):
-        at, left = len(OPENSSH), 3  # cipher, derivation, its options
-        for counted in (False, True):
-            while left:
-                if at + 4 > len(data):
-                    return at + 4
-                at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
-            if not counted:
-                if at + 4 > len(data):
-                    return at + 4
-                keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-                left = keys + 1  # public ones, then the private part
-        return at if keys else None
-    size, at = data[1], 2
+    return tags[:2] == [INTEGER, OCTETS] and version == b"\1" and inner[1][2] - inner[1][1] >= 20  # a curve's number
+
+
+def is_private_key(data: bytes | None) -> bool:
+    return bool(data) and is_key(lambda at, n: data[at : at + n], len(data))
+
+
+def required(read: Read, have: int) -> int | None:
+    """Bytes that a key needs as far as the lengths among its first `have` bytes, 15 or more, tell; None if it is none."""
+    if read(0, len(OPENSSH)) == OPENSSH:
+        at, keys = len(OPENSSH), 0
+        for part in range(3 + 1 + MOST_ELEMENTS + 1):  # cipher, derivation, its options; number; public keys, private part
+            if at + 4 > have:
+                return at + 4
+            value = int.from_bytes(read(at, 4), "big")
+            if part == 3:
+                keys, at = value, at + 4
+                if not keys:
+                    return None
+                if keys > MOST_ELEMENTS:
+                    return 1 << 62  # more than any text holds
+                continue
+            at += 4 + value
+            if part == 4 + keys and part > 3:
+                break
+        return at
+    head = read(0, 9)
+    size, at = head[1], 2
     if size & 0x80:
         n = size & 0x7F
         if not 1 <= n <= 4:
             return None
-        size, at = int.from_bytes(data[at : at + n], "big"), at + n
+        size, at = int.from_bytes(head[at : at + n], "big"), at + n
     # every layout begins with a version of one byte
-    return at + size if data[0] == SEQUENCE and data[at : at + 2] == b"\2\1" and data[at + 2] <= 1 else None
+    return at + size if head[0] == SEQUENCE and head[at : at + 2] == b"\2\1" and head[at + 2] <= 1 else None
 
 
 def character(m: re.Match) -> str:
@@ -144,46 +163,79 @@ def character(m: re.Match) -> str:
     return m[1] or m[2] or (chr(int(m[3], 16)) if m[3] else "")
 
 
-def key_end(text: str, start: int) -> tuple[int, bool] | None:
-    """End of the base64 key that begins at `start`, and whether it is one unbroken run."""
-    parts, n, at, broken, first = [], 0, start, False, None
-    need = len(OPENSSH)
-    container = False
-    while need <= len(text) - start and (m := PIECE.match(text, at)):
-        piece, at = character(m), m.end()
-        if not piece:
-            first, broken = first or m.start(), True
-            continue
-        parts.append(piece)
-        n += len(piece)
-        while n >= (chars := (need * 4 + 2) // 3):
-            body = "".join(parts)
-            parts = [body]
-            data = from_base64(body[:chars])
-            container = data.startswith(OPENSSH)
-            more = required(data)
-            if more is None:
-                return None
-            if more > need:
-                need = more
-                if need > len(text) - start:
-                    break
+class Run:
+    """A stretch of base64 with what may stand between its lines, taken apart once for all keys that may begin in it.
+
+    `chars` are its base64 characters. Of each piece of them: place in the text, place among the characters, whether it
+    stands as it is, and how many separators came before.
+    """
+
+    def __init__(self, text: str, start: int):
+        self.text, self.places, self.ends, self.firsts, self.plain, self.before, self.gaps = text, [], [], [], [], [], []
+        parts, n, at = [], 0, start
+        while m := PIECE.match(text, at):
+            piece, at = character(m), m.end()
+            if not piece:
+                self.gaps.append(m.start())
                 continue
-            # the container's lengths may leave some of its last run over
-            end = at if container else at - (n - chars)
-            if end < at and text[end] not in "+/-_" or not is_private_key(from_base64(body[: n - (n % 4 == 1)]) if container else data):
+            self.places.append(m.start())
+            self.ends.append(at)
+            self.firsts.append(n)
+            self.plain.append(m[1] is not None)
+            self.before.append(len(self.gaps))
+            parts.append(piece)
+            n += len(piece)
+        self.chars, self.end = "".join(parts), max(at, start + 1)
+
+    def reader(self, first: int) -> Read:
+        """Decoded bytes from the character `first` on; only what is asked for is decoded."""
+
+        def read(at: int, n: int) -> bytes:
+            low = at // 3
+            data = from_base64(self.chars[first + 4 * low : first + 4 * (-(-(at + n) // 3))]) or b""
+            return data[at - 3 * low : at - 3 * low + n]
+
+        return read
+
+    def key_end(self, start: int) -> tuple[int, bool] | None:
+        """End of the base64 key that begins at `start`, and whether it is one unbroken run."""
+        own = bisect_right(self.places, start) - 1
+        if own < 0 or start >= self.ends[own]:
+            return None
+        first = self.firsts[own] + (start - self.places[own] if self.plain[own] else 0)
+        read, left = self.reader(first), len(self.chars) - first
+        have = left * 3 // 4
+        if have < len(OPENSSH):
+            return None
+        need = required(read, have)
+        if need is None:
+            return None
+        container = read(0, len(OPENSSH)) == OPENSSH
+        if need > have:
+            if not container:
                 return None
-            if end < at:
-                return end, not broken
-            padding = PADDING.match(text, end)
-            if broken and padding.end() - end < -n % 4:  # a line may break in it
-                padding = BROKEN_PADDING[-n % 4].match(text, end) or padding
-            return padding.end(), not broken
-    if container:  # cut off: what the first run shows
-        end = first or at
-        if is_private_key(from_base64("".join(character(m) for m in PIECE.finditer(text, start, end)))):
-            return PADDING.match(text, end).end(), True
-    return None
+            # cut off: what the first stretch shows
+            gap = bisect_left(self.gaps, start)
+            end = self.gaps[gap] if gap < len(self.gaps) else self.ends[-1]
+            last = bisect_left(self.places, end) - 1
+            shown = self.firsts[last] + (self.ends[last] - self.places[last] if self.plain[last] else 1) - first
+            return (PADDING.match(self.text, end).end(), True) if is_key(read, shown * 3 // 4) else None
+        count = (need * 4 + 2) // 3
+        last = bisect_right(self.firsts, first + count - 1) - 1
+        at, broken = self.ends[last], self.before[last] != self.before[own]
+        width = at - self.places[last] if self.plain[last] else 1
+        # the container's lengths may leave some of its last run over
+        n = self.firsts[last] + width - first
+        end = at if container else at - (n - count)
+        size = (n - (n % 4 == 1)) * 3 // 4 if container else count * 3 // 4
+        if end < at and self.text[end] not in "+/-_" or not is_key(read, size):
+            return None
+        if end < at:
+            return end, not broken
+        padding = PADDING.match(self.text, end)
+        if broken and padding.end() - end < -n % 4:  # a line may break in it
+            padding = BROKEN_PADDING[-n % 4].match(self.text, end) or padding
+        return padding.end(), not broken
 
 
 def private_keys(text: str) -> list[tuple[int, int]]:
@@ -194,9 +246,13 @@ def private_keys(text: str) -> list[tuple[int, int]]:
             if is_private_key(from_base64("".join(map(character, PIECE.finditer(body))))):
                 marked.append(m.span())
     for pattern in (KEY_START, CONTAINER_START):
-        end = 0
+        end, run = 0, None
         for m in pattern.finditer(text):
-            if m.start() >= end and (key := key_end(text, m.start())):
+            if m.start() < end:
+                continue
+            if run is None or m.start() >= run.end:
+                run = Run(text, m.start())
+            if key := run.key_end(m.start()):
                 end = key[0]
                 if key[1] or not any(a <= m.start() < b for a, b in marked):
                     found.add((m.start(), end))
@@ -214,26 +270,34 @@ def signed_tokens(text: str) -> list[tuple[int, int]]:
         cuts = [low, *(low + c.end() for c in TOKEN_CUT.finditer(text[low:dot]))]
         if low and text[low - 1] == "\\" and text[low] in "nrt":
             cuts.insert(1, low + 1)
+        payload, decoded = None, {}
         for at in cuts:
             if dot - at < 14:  # {"alg":""}
                 break
             lead = from_base64(text[at : at + 4]) or b""
-            opens = lead.startswith(BYTE_MARKS) or lead.lstrip(b" \t\r\n\0")[:1] in (b"{", b"")
-            if opens and is_signed_token(text[at:dot], m[1]):
+            if not (lead.startswith(BYTE_MARKS) or lead.lstrip(b" \t\r\n\0")[:1] in (b"{", b"")):
+                continue
+            # cuts a multiple of four characters apart share what they decode to, and all share the payload
+            if (dot - at) % 4 not in decoded:
+                decoded[(dot - at) % 4] = at, from_base64(text[at:dot]) or b""
+            origin, header = decoded[(dot - at) % 4]
+            if header.rstrip(b" \t\r\n\0")[-1:] != b"}":
+                continue
+            payload = is_object(from_base64(m[1])) if payload is None else payload
+            if payload and is_object(header[(at - origin) // 4 * 3 :], "alg"):
                 end = m.end(2)
                 found.append((at, end))
                 break
     return found
 
 
-def is_signed_token(header: str, payload: str) -> bool:
-    parts = []
-    for part in (header, payload):
-        try:
-            parts.append(json.loads(from_base64(part) or b""))
-        except (ValueError, RecursionError):
-            return False
-    return all(isinstance(p, dict) for p in parts) and isinstance(parts[0].get("alg"), str)
+def is_object(data: bytes | None, named: str | None = None) -> bool:
+    """Whether bytes are a JSON object, and the value of `named` in it a text."""
+    try:
+        value = json.loads(data or b"")
+    except (ValueError, RecursionError):
+        return False
+    return isinstance(value, dict) and (named is None or isinstance(value.get(named), str))
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
