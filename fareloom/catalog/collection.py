@@ -15,7 +15,7 @@ from ..sources import landed, payloads
 from . import quality as Q
 from . import traffic as TQ
 from . import views as S
-from .index import price_index, rd
+from .index import IN_RANGE, price_index, rd
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -316,15 +316,36 @@ def _calendar(spark, sf):
 # --- Dashboard ---------------------------------------------------------------------------------
 
 
-@query("dashboard_summary")
+_LISTED = "string_agg(CASE WHEN {test} THEN route END, ',' ORDER BY {rank})"
+
+
+@query(
+    "dashboard_summary",
+    S.index_ctes()
+    + f""", m AS (SELECT period, route, mom, row_number() OVER (PARTITION BY period ORDER BY mom DESC NULLS LAST, route) AS up,
+      row_number() OVER (PARTITION BY period ORDER BY mom ASC NULLS LAST, route) AS down,
+      row_number() OVER (PARTITION BY period ORDER BY points DESC NULLS LAST, route) AS gain FROM inflation {IN_RANGE}),
+    lists AS (SELECT period, {_LISTED.format(test="up <= 3 AND mom IS NOT NULL", rank="up")} AS top_increases,
+      {_LISTED.format(test="down <= 3 AND mom IS NOT NULL", rank="down")} AS top_decreases, {_LISTED.format(test="gain <= 3", rank="gain")} AS top_contributors
+      FROM m GROUP BY 1),
+    cov AS (SELECT period, count(*) AS total_routes, count(*) FILTER (WHERE status = 'OK') AS active_routes,
+      coalesce({S.r("avg(CASE WHEN status = 'OK' THEN coalesce(wn, 0) END)", 4)}, 0) AS average_coverage FROM inflation {IN_RANGE} GROUP BY 1),
+    q AS ({Q.SQL["batch_report"]})
+    SELECT n.period, {S.r('idx')} AS national_index, {S.r('mom')} AS mom_change_pct, {S.r('yoy')} AS yoy_change_pct, total_routes, active_routes,
+      average_coverage, {S.r('q.quality_score / 100', 4)} AS quality_score, q.letter AS quality_grade, CASE WHEN c.period IS NOT NULL THEN 'real' ELSE 'synthetic' END AS data_source,
+      coalesce(top_increases, '') AS top_increases, coalesce(top_decreases, '') AS top_decreases, coalesce(top_contributors, '') AS top_contributors
+    FROM (SELECT * FROM national {IN_RANGE}) n LEFT JOIN lists l ON l.period = n.period LEFT JOIN cov c ON c.period = n.period, q""",
+)
 def _dashboard(spark, sf):
     index = price_index(spark, sf)
     inflation = stage(index.inflation(), "inflation")
     raw = V.fares_dirty(spark, sf)
     report = quality.batch_report(raw, Q.grade(spark, sf))
     rows = dashboard_summary(index.national(), indices.route_listing(inflation, "real"), inflation, report, F.lit(True))
+    rounded = ("national_index", "mom_change_pct", "yoy_change_pct")
     lists = ("top_increases", "top_decreases", "top_contributors")
-    return rows.select(*[c for c in rows.columns if c not in lists], *[F.to_json(c).alias(c) for c in lists])
+    routes = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x["route"]), ","), F.lit("")).alias(c)
+    return rows.select(*[rd(c) if c in rounded else c for c in rows.columns if c not in lists], *[routes(c) for c in lists])
 
 
 @query(

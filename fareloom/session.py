@@ -32,10 +32,18 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; where none is named, one in the session's warehouse."""
+    """The folder the cluster names for checkpoints; where none is named, one in the session's warehouse.
+
+    A warehouse on the driver's own disk serves a local master only: executors of a cluster would not see its files.
+    """
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR, None)
     if not named:
-        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        own = "://" not in warehouse or warehouse.startswith("file:")
+        master = spark.sparkContext.master
+        if own and master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all machines share: {warehouse} is on one")
+        named = f"{warehouse}/_staged"
         spark.conf.set(CHECKPOINT_DIR, named)
     return named
 
