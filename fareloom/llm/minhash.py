@@ -40,6 +40,8 @@ SEED = 10
 STRIDE = 4096
 #: Mean number of classes, and of characters, in a block of a group that is compared.
 BLOCK, BLOCK_CHARS = 64, 1 << 20
+#: Slices by which the size of a group reaches its rows.
+SLICES = 64
 
 
 def shingle_set(text: str | None, words: int):
@@ -157,8 +159,12 @@ def apart(near: DataFrame, labels: DataFrame, texts: DataFrame, words: int, perc
     rows = rows.select("a", "b", "near", F.coalesce("label", "b").alias("label"), F.coalesce("centre", "a").alias("centre"))
     mixed = rows.where("label <> centre").groupBy("a").count().select("a")
     rows = stage(rows.join(mixed, "a").join(texts.withColumnRenamed("class", "b"), "b").select("a", "b", "near", "label", "text"), "minhash-apart")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("long")
-    rows = rows.join(rows.groupBy("a").agg(blocks.alias("blocks")), "a")
+    # a group's size goes back to its rows by slices of the group, so that its texts never meet on one key
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("b", F.lit(1)), F.lit(SLICES)))
+    slices = rows.groupBy("a", "slice").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("long")
+    sizes = slices.select("a", "slice").join(slices.groupBy("a").agg(blocks.alias("blocks")), "a")
+    rows = rows.join(sizes, ["a", "slice"])
     block = F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")
     packed = stage(rows.groupBy("a", block).agg(F.collect_list(F.struct("b", "near", "label", "text")).alias("rows")), "minhash-blocks")
     limit = percent / 100
