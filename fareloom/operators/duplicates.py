@@ -24,12 +24,19 @@ CELLS = 4
 LEAST = 1e-9
 
 
-def digest(columns: Sequence[Column], bits: int) -> Column:
+# Bytes of a key: 96 bits, by which among a billion different texts two agree with a probability of 1e-11.
+KEY_BYTES = 12
+
+
+def _key(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, KEY_BYTES)
+
+
+def digest(columns: Sequence[Column]) -> Column:
     """A key of fixed size of all columns; null and empty text differ."""
     texts = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
     nulls = F.concat(*[c.isNull().cast("int").cast("string") for c in columns])
-    text = F.concat_ws("|", nulls, *texts)
-    return F.unhex(F.md5(text) if bits == 128 else F.sha2(text, bits))
+    return _key(F.concat_ws("|", nulls, *texts))
 
 
 def row_keys(raw_cols: Sequence[str]) -> dict[str, Column]:
@@ -37,36 +44,40 @@ def row_keys(raw_cols: Sequence[str]) -> dict[str, Column]:
     content = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in raw_cols if c != "observation_id"]
     groups = [F.col(c) for c in (*GROUP_COLS, "source") if c in raw_cols]
     return {
-        "row_key": digest([F.col(c) for c in raw_cols], 256),
-        "content_key": F.unhex(F.sha2(F.concat_ws("|", *content), 256)),
-        "group_key": digest(groups, 128),
+        "row_key": digest([F.col(c) for c in raw_cols]),
+        "content_key": _key(F.concat_ws("|", *content)),
+        "group_key": digest(groups),
     }
 
 
-def row_order(columns: Sequence[str], order_cols: Sequence[str] = ORDER_COLS) -> Column:
-    """A strict total order of distinct rows: the given columns in turn, then id and row key."""
+def row_order(columns: Sequence[str], order_cols: Sequence[str] = ORDER_COLS) -> list[str]:
+    """Columns of a strict total order of distinct rows: the given columns in turn, then id and row key."""
     given = [c for c in order_cols if c in columns]
-    return F.struct(*given, *[c for c in ("observation_id", "row_key") if c not in given])
+    return [*given, *[c for c in ("observation_id", "row_key") if c not in given]]
 
 
-def mark_exact(rows: DataFrame) -> DataFrame:
-    """Add `is_repeat`: an earlier candidate (no rejection reason) has the same id or content.
+def distinct_rows(rows: DataFrame, order: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """Every distinct row with its `copies` and `later_of_content`: an earlier candidate (no rejection reason) has its content.
 
-    Rejected rows stay out of the joins, so that blank ids, already rejected, don't meet on one key. Only keys that occur
-    more than once are joined back, usually few rows; the planner sees their size at run time.
+    Rows are shuffled once, by content: equal rows have equal content, so the copies and the first row of a content are
+    found in the same layout. `extra` columns follow from the row key and are carried along. `content_key` is dropped.
     """
-    reason = F.col("rejection_reason")
-    candidates = rows.filter(reason.isNull())
+    keys = [c for c in rows.columns if c not in extra]
+    carried = [F.first(c).alias(c) for c in extra]
+    distinct = rows.repartition("content_key").groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), *carried)
+    candidate = F.col("rejection_reason").isNull()
+    place = F.row_number().over(W.partitionBy("content_key", candidate).orderBy(*order))
+    return distinct.withColumn("later_of_content", candidate & (place > 1)).drop("content_key")
 
-    def firsts(key: str, out: str) -> DataFrame:
-        grouped = candidates.groupBy(key).agg(F.min("row_order").alias(out), F.count(F.lit(1)).alias("rows"))
-        return grouped.filter(F.col("rows") > 1).drop("rows")
 
-    out = candidates.join(firsts("id_key", "first_of_id"), "id_key", "left")
-    out = out.join(firsts("content_key", "first_of_content"), "content_key", "left")
-    later = (F.col("row_order") > F.col("first_of_id")) | (F.col("row_order") > F.col("first_of_content"))
-    marked = out.withColumn("is_repeat", F.coalesce(later, F.lit(False))).select(*rows.columns, "is_repeat")
-    return marked.unionByName(rows.filter(reason.isNotNull()).withColumn("is_repeat", F.lit(False)))
+def mark_exact(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Candidates of `distinct_rows` with `is_repeat`: an earlier candidate has the same id or content.
+
+    Candidates are shuffled once, by id. Rejected rows stay out, so that blank ids, already rejected, don't meet on one key.
+    """
+    candidates = rows.filter(F.col("rejection_reason").isNull()).withColumn("id_key", F.trim("observation_id"))
+    place = F.row_number().over(W.partitionBy("id_key").orderBy(*order))
+    return candidates.withColumn("is_repeat", F.col("later_of_content") | (place > 1)).drop("id_key", "later_of_content")
 
 
 def near_duplicates(candidates: DataFrame, config: QualityConfig) -> DataFrame:
@@ -78,7 +89,8 @@ def near_duplicates(candidates: DataFrame, config: QualityConfig) -> DataFrame:
     limit falls, send their fares, and only these are tested one by one with the exact rule. Each cell sends itself
     to the cells around it, so they meet by equal cell numbers. A cell without another in reach sends nothing.
 
-    Fares are dealt once, by group and band; all that follows is grouped by more columns and needs no other exchange.
+    Rows are dealt once, by group and band; all that follows is grouped by more columns and needs no other exchange until
+    the result, one row per group and fare, which is dealt as the rows that join it.
     """
     tol = config.near_duplicate_tolerance
     # reach of |f - s| <= tol * s in ln f - ln s, below and above; the first with a margin no rounding crosses
@@ -87,18 +99,18 @@ def near_duplicates(candidates: DataFrame, config: QualityConfig) -> DataFrame:
     far = math.ceil(reach / width)
     sure, edge = list(range(1 - CELLS, CELLS)), [d for n in range(CELLS, far + 1) for d in (-n, n)]
 
-    keys = ["group_key", "fare"]
-    fares = candidates.groupBy(*keys).agg(F.min("row_order").alias("first"), F.max("row_order").alias("last"))
     scale = F.when(F.col("fare") >= LEAST, F.ln("fare")).otherwise(F.col("fare") / LEAST - 1 + math.log(LEAST))
     margin = reach + 2 * width
     band = max(BAND, margin)
     home = F.floor(F.col("scale") / band)
     bands = F.array_distinct(F.array(F.floor((F.col("scale") - margin) / band), home, F.floor((F.col("scale") + margin) / band)))
+    in_band = ["group_key", "band"]
+    scaled = candidates.select("group_key", "fare", "row_order", scale.alias("scale"))
+    dealt = scaled.withColumn("band", F.explode(bands)).drop("scale").repartition(*in_band)
+    fares = dealt.groupBy(*in_band, "fare").agg(F.min("row_order").alias("first"), F.max("row_order").alias("last"))
     fares = fares.withColumn("scale", scale).withColumns({"cell": F.floor(F.col("scale") / width), "own": home})
-    dealt = fares.withColumn("band", F.explode(bands)).repartition("group_key", "band")
 
-    in_band = ["group_key", "band"]
-    cells = dealt.groupBy(*in_band, "cell").agg(
+    cells = fares.groupBy(*in_band, "cell").agg(
         F.min("first").alias("low"), F.collect_list(F.struct("fare", "first", "last", "own")).alias("fares")
     )
     order = W.partitionBy(*in_band).orderBy("cell")
@@ -123,12 +135,13 @@ def near_duplicates(candidates: DataFrame, config: QualityConfig) -> DataFrame:
     at_edge = F.filter("edge", lambda e: F.abs(fare - e["fare"]) <= F.lit(tol) * F.greatest(F.abs(e["fare"]), F.lit(LEAST)))
     nearest = F.least("low", F.array_min(F.transform(at_edge, lambda e: e["first"])))
     found = met.select("group_key", fare.alias("fare"), nearest.alias("first_near"), F.col("at.last").alias("last"))
-    return found.filter(F.col("first_near") < F.col("last")).drop("last")
+    found = found.filter(F.col("first_near") < F.col("last"))
+    # a grouping, so that the planner knows the key as unique and drops the search where no one asks for its flag
+    return found.groupBy("group_key", "fare").agg(F.min("first_near").alias("first_near"))
 
 
-def mark_near(rows: DataFrame, config: QualityConfig) -> DataFrame:
-    """Add `is_near_repeat` to rows without rejection reason."""
-    near = near_duplicates(rows.filter(F.col("rejection_reason").isNull()), config)
-    joined = rows.join(near, ["group_key", "fare"], "left")
-    flag = F.col("rejection_reason").isNull() & F.coalesce(F.col("row_order") > F.col("first_near"), F.lit(False))
+def mark_near(candidates: DataFrame, config: QualityConfig) -> DataFrame:
+    """Add `is_near_repeat` to candidates."""
+    joined = candidates.join(near_duplicates(candidates, config), ["group_key", "fare"], "left")
+    flag = F.coalesce(F.col("row_order") > F.col("first_near"), F.lit(False))
     return joined.withColumn("is_near_repeat", flag).drop("first_near")
