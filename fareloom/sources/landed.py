@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..constants import MONTH_NAMES
 from ..functions import columns as C
 from ..operators.constraints import guarded
+from ..session import stage
 from . import schemas
 
 ENVELOPE_VERSION = "1.0"
@@ -37,11 +38,11 @@ def load_json_observations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_run(df: DataFrame, base: str, run_id: str, stage: str = "raw") -> str:
-    """One directory per run, raw and validated apart. An existing run is never overwritten."""
+    """One directory per run of gzipped JSON lines, raw and validated apart. An existing run is never overwritten."""
     if stage not in ("raw", "validated"):
         raise ValueError("stage must be raw or validated")
     target = f"{base.rstrip('/')}/{stage}/fares/run_id={run_id}"
-    df.write.mode("errorifexists").json(target)
+    df.write.mode("errorifexists").option("compression", "gzip").json(target)
     return target
 
 
@@ -53,7 +54,10 @@ def collection_envelopes(
     The layout is the same for every run, whatever its size: one metadata record per run, one record
     per attempt and per observation, so no task gathers a run. Without `attempts` the summaries of
     the report stand in for them. An observation of a run without a report is left out.
+
+    The report is staged: three tables read it, and with its size known observations aren't shuffled to their run.
     """
+    report = stage(report, "run-reports")
     if attempts is None:
         listed = report.select("run_id", F.explode("source_summaries").alias("s"))
         attempts = listed.select("run_id", *[F.col("s")[f.name].alias(f.name) for f in schemas.ATTEMPT])
@@ -71,9 +75,9 @@ def collection_envelopes(
 def write_envelopes(
     report: DataFrame, observations: DataFrame, path: str, attempts: DataFrame | None = None
 ) -> None:
-    """JSON lines of each table of `collection_envelopes` in a folder of its own; existing ones are an error."""
+    """Gzipped JSON lines of each table of `collection_envelopes` in a folder of its own; existing ones are an error."""
     for name, rows in collection_envelopes(report, observations, attempts).items():
-        rows.write.mode("errorifexists").json(f"{path.rstrip('/')}/{name}")
+        rows.write.mode("errorifexists").option("compression", "gzip").json(f"{path.rstrip('/')}/{name}")
 
 
 def read_envelopes(spark: SparkSession, path: str) -> dict[str, DataFrame]:
