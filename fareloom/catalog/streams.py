@@ -52,6 +52,13 @@ def land(df, spark, name: str):
     return ST.stream_runs(spark, path, df.schema, "parquet")
 
 
+def land_in_parts(df, path: str, key: str = "observation_id") -> int:
+    """Write landed files dealt by a key, as many as the size of the table asks for; the number of files that make two batches."""
+    df.repartition(key).write.parquet(path)
+    files = len(df.sparkSession.read.schema(df.schema).parquet(path).inputFiles())
+    return max(1, -(-2 * files // 3))
+
+
 @query(
     "stream_checked",
     f"WITH src AS ({S.fares_dirty()}), checked AS ({S.CHECKED}) SELECT coalesce(rejection_reason, 'VALID') AS reason, count(*) AS n FROM checked GROUP BY 1",
@@ -126,10 +133,8 @@ def _refreshed(spark, sf):
     """Facts kept current batch by batch equal the facts of one batch over everything."""
     landed, quotes_path, facts_path = (folder(spark, n) for n in ("landed", "quotes", "facts"))
     fares = V.fares(spark, sf)
-    fares.repartition(3, "observation_id").write.parquet(landed)
-    stream = (
-        spark.readStream.schema(fares.schema).option("maxFilesPerTrigger", 2).parquet(landed)
-    )
+    share = land_in_parts(fares, landed)
+    stream = spark.readStream.schema(fares.schema).option("maxFilesPerTrigger", share).parquet(landed)
     (
         stream.writeStream.foreachBatch(ST.refresh_touched_months(IndexConfig(S.BASE), quotes_path, facts_path))
         .option("checkpointLocation", f"{landed}-state")
