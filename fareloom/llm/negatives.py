@@ -8,8 +8,9 @@ for the negatives. A meeting goes through the levels from coarse to fine: a pair
 range, its lower bound above it, or its upper bound under the k-th best lower bound of pairs that are sure to be in
 the range. What is left is scored exactly. A meeting gives at most k rows per anchor and range, which Spark ranks.
 
-Blocks and packs meet in an equi-join on a block group, one group for every `BLOCK` rows: no label and no vector is a
-key, so a label or a vector that a third of all rows have is spread like any other. Work is anchors times rows.
+Blocks and packs meet in an equi-join on a block group: no label and no vector is a key, so a label or a vector that a third
+of all rows have is spread like any other. Packs go along to every group, so there are `GROUPS` of them, or fewer for few blocks,
+or more where a group would have over `GROUP_BLOCKS`: up to that, what is shuffled grows like the rows. Work is anchors times rows.
 
 A row whose id, label or vector is null, or whose vector is empty or holds a null or non-finite component, takes no
 part; nor do vectors of other than the most frequent length. A row with the anchor's own id is neither its positive nor
@@ -31,6 +32,8 @@ from .batches import map_batches
 
 BLOCK = 4096
 PACK = 256
+#: Groups that blocks are dealt to, and blocks of a group that a task may have to hold.
+GROUPS, GROUP_BLOCKS = 256, 64
 LEVELS = (1, 4, 16)
 #: Rows that a task sorts by label and mean before it cuts blocks, in bytes of doubles.
 HELD_BYTES = 64 << 20
@@ -174,6 +177,13 @@ def packer(most: int, width: int):
     return function
 
 
+def dealt(blocks: DataFrame, groups: int) -> DataFrame:
+    """The blocks with their group: those of a task in turn, from a start of its own."""
+    place = F.monotonically_increasing_id()
+    start = F.pmod(F.xxhash64(F.shiftright(place, 33)), F.lit(groups))
+    return blocks.withColumn("grp", F.pmod(start + place.bitwiseAND((1 << 33) - 1), F.lit(groups)).cast("int"))
+
+
 PACKED = "ids binary, labels binary, vectors binary, summary binary, extra binary, n long"
 
 
@@ -215,7 +225,9 @@ def meetings(blocks: DataFrame, packs: DataFrame, groups: int, width: int, k: in
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(longs, pa.int64())], ["anchor_id", "vec_id", "score"])
 
     asked = packs.select(*[F.col(c).alias(f"q_{c}") for c in packs.columns]).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = blocks.join(asked, "grp").select(*packs.columns, *asked.columns[:-1])
+    # the planner takes the packs of all groups for as small as those of one: without the hint it would broadcast them
+    asked, blocks = asked.repartition(groups, "grp"), blocks.repartition(groups, "grp")
+    pairs = asked.hint("merge").join(blocks, "grp").select(*packs.columns, *[c for c in asked.columns if c != "grp"])
     return map_batches(pairs, search, "anchor_id long, vec_id long, score long")
 
 
@@ -239,10 +251,11 @@ def mine(
     lengths = rows.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], schema)
-    width, groups = lengths[0]["width"], -(-lengths[0]["count"] // BLOCK)
+    width, parts = lengths[0]["width"], -(-lengths[0]["count"] // BLOCK)
+    groups = max(min(parts, GROUPS), -(-parts // GROUP_BLOCKS))
     rows = rows.where(F.size("embedding") == width)
     blocks = map_batches(rows, packer(BLOCK, width), PACKED)
-    blocks = stage(blocks.withColumn("grp", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int")), "negatives-blocks")
+    blocks = stage(dealt(blocks, groups), "negatives-blocks")
     asked = rows.where(anchors).groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("r")).select("vec_id", "r.*")
 
     found = meetings(blocks, map_batches(asked, packer(PACK, width), PACKED), groups, width, positives)

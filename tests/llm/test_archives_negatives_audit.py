@@ -154,6 +154,27 @@ def test_negatives_of_nothing(spark):
     assert mined(spark, [(1, 1, [1.0])], F.col("vec_id") % 10 == 0) == []
 
 
+def test_packs_of_all_groups_are_not_broadcast(spark):
+    columns = [F.lit(b"x").alias(c) for c in ("ids", "labels", "vectors", "summary", "extra")] + [F.lit(1).cast("long").alias("n")]
+    packs = spark.range(3).select(*columns)
+    blocks = negatives.dealt(spark.range(20000, numPartitions=8).select(*columns), 64)
+    per_group = [r["count"] for r in blocks.groupBy("grp").count().collect()]
+    assert len(per_group) == 64 and max(per_group) < 2 * min(per_group)
+    found = negatives.meetings(blocks, packs, 64, 1, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in found and "SortMergeJoin" in found
+
+
+def test_groups_hold_a_bounded_number_of_blocks(spark, monkeypatch):
+    for name, value in (("BLOCK", 10), ("PACK", 7), ("GROUPS", 2), ("GROUP_BLOCKS", 8)):
+        monkeypatch.setattr(negatives, name, value)
+    rng = random.Random(2)
+    rows = [(i, rng.choice([0, 0, 1, 2]), [float(rng.randint(-3, 5)) for _ in range(5)]) for i in range(300)]
+    groups, meetings = [], negatives.meetings
+    monkeypatch.setattr(negatives, "meetings", lambda b, p, n, *rest: groups.append(n) or meetings(b, p, n, *rest))
+    assert mined(spark, rows, F.col("vec_id") % 10 == 0) == plain_negatives(rows, lambda i: i % 10 == 0)
+    assert groups == [4, 4]
+
+
 def test_floors(spark):
     df = spark.createDataFrame([([0.1, -0.1, 0.5, -1 / 512, 0.0, None],)], "v array<float>")
     assert df.select(negatives.scaled(F.col("v"))).collect()[0][0] == [25.0, -26.0, 128.0, -1.0, 0.0, None]
