@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import QualityConfig
+from ..session import stage
 from .cleaning import ORDER_COLS
 
 GROUP_COLS = ("airline", "origin", "destination", "flight_date", "booking_date")
@@ -24,6 +25,8 @@ CELLS = 4
 LEAST = 1e-9
 
 
+# Ids that several candidates share go to all tasks up to so many (8 bytes each); beyond, all candidates are shuffled by id.
+SHARED_IDS = 1 << 16
 # Bytes of a key: 96 bits, by which among a billion different texts two agree with a probability of 1e-11.
 KEY_BYTES = 12
 
@@ -70,14 +73,29 @@ def distinct_rows(rows: DataFrame, order: Sequence[str], extra: Sequence[str] =
     return distinct.withColumn("later_of_content", candidate & (place > 1)).drop("content_key")
 
 
-def mark_exact(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Candidates of `distinct_rows` with `is_repeat`: an earlier candidate has the same id or content.
+def mark_exact(rows: DataFrame, order: Sequence[str]) -> tuple[DataFrame, bool]:
+    """Candidates of `distinct_rows` with `is_repeat`: an earlier candidate has the same id or content. And whether all were shuffled.
 
-    Candidates are shuffled once, by id. Rejected rows stay out, so that blank ids, already rejected, don't meet on one key.
+    Hashes of ids are counted first, 64 bits and a count of each row. Only candidates whose hash comes again are shuffled by id and
+    staged; others have an id of their own. Where the ids that come again are too many to be sent to all tasks, all candidates are
+    shuffled. Rejected rows stay out, so that blank ids, already rejected, don't meet on one key.
     """
     candidates = rows.filter(F.col("rejection_reason").isNull()).withColumn("id_key", F.trim("observation_id"))
+    hashed = candidates.withColumn("id_hash", F.xxhash64("id_key"))
+    times = hashed.groupBy("id_hash").agg(F.count(F.lit(1)).alias("times"))
+    shared = stage(times.filter(F.col("times") > 1).select("id_hash"), "shared-ids")
+    ids = shared.count()
     place = F.row_number().over(W.partitionBy("id_key").orderBy(*order))
-    return candidates.withColumn("is_repeat", F.col("later_of_content") | (place > 1)).drop("id_key", "later_of_content")
+    in_place = F.col("later_of_content") | (place > 1)
+    done = ("id_key", "id_hash", "later_of_content")
+    if ids > SHARED_IDS:
+        return candidates.withColumn("is_repeat", in_place).drop(*done), True
+    if not ids:
+        return candidates.withColumn("is_repeat", F.col("later_of_content")).drop(*done), False
+    few = F.broadcast(shared)  # counted: half a megabyte at most
+    alone = hashed.join(few, "id_hash", "left_anti").withColumn("is_repeat", F.col("later_of_content")).drop(*done)
+    together = hashed.join(few, "id_hash", "left_semi").withColumn("is_repeat", in_place).drop(*done)
+    return alone.unionByName(stage(together, "shared-id-rows")), False
 
 
 def near_duplicates(candidates: DataFrame, config: QualityConfig) -> DataFrame:

@@ -188,7 +188,7 @@ def _judged(
 ) -> DataFrame:
     """`verdicts` with the raw columns named in `keep` carried along.
 
-    Rows are shuffled by content and staged, then candidates by id; the fare counts and the near search read candidates only.
+    Rows are shuffled by content and staged, then those candidates by id that share one; the fare counts and the near search read candidates only.
     Rejected rows are in a branch of their own without flags, so a reader of one kind of rows, or of no flags, doesn't run the
     searches for others.
     """
@@ -206,8 +206,8 @@ def _judged(
     narrow = list(dict.fromkeys([*NARROW, *order, *source, *seen_at]))
     extra = [c for c in keep if c not in narrow]
     rows = stage(distinct_rows(work.select(*narrow, *extra), order, extra), "graded-rows")
-    checked = mark_exact(rows, order)
-    if not extra:  # wide rows are rather dealt by id again than written once more
+    checked, shuffled = mark_exact(rows, order)
+    if shuffled and not extra:  # wide rows are rather dealt by id again than written once more
         checked = stage(checked, "graded-candidates")
     fare = C.as_number(F.col("total_fare"))
     rows, checked = rows.withColumn("fare", fare), checked.withColumn("fare", fare)
