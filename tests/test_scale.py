@@ -8,6 +8,7 @@ import pytest
 from conftest import month_quotes, quote_rows
 from pyspark.sql import functions as F
 
+from fareloom import IndexConfig, PriceIndex
 from fareloom.catalog.streams import land_in_parts
 from fareloom.operators import news, quality
 from fareloom.sources import domain_views as V
@@ -101,3 +102,16 @@ def test_landed_files_grow_in_number(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len([f for f in os.listdir(f"{tmp_path}/landed") if f.startswith("part-")]) == 4 and share == 3
+
+
+def test_facts_are_found_once_for_all_results(spark):
+    rows = quote_rows(spark, [q for m in ("01", "02") for q in month_quotes("DEL-BOM", f"2026-{m}", [100, 110, 120, 130])])
+    index = PriceIndex(rows, IndexConfig("2026-01"))
+    for result in (index.national(), index.inflation(), index.contributions()):
+        text = plan(result)
+        assert "/facts-" in text and "/fare-limits-" not in text
+    assert [r["national_index"] for r in index.national().orderBy("period").collect()] == [100.0, 100.0]
+
+
+def test_generated_code_stays_short_enough_to_be_compiled(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
