@@ -29,17 +29,19 @@ LEAST = 1e-9
 SHARED_IDS = 1 << 16
 # Bytes of a key: 96 bits, by which among a billion different texts two agree with a probability of 1e-11.
 KEY_BYTES = 12
+# Bytes of a row key: it tells rows apart that have one content and one id, and orders rows of one id and fare. Rows are padded to eight.
+ROW_KEY_BYTES = 8
 
 
-def _key(text: Column) -> Column:
-    return F.substring(F.unhex(F.sha2(text, 256)), 1, KEY_BYTES)
+def _key(text: Column, size: int = KEY_BYTES) -> Column:
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, size)
 
 
-def digest(columns: Sequence[Column]) -> Column:
+def digest(columns: Sequence[Column], size: int = KEY_BYTES) -> Column:
     """A key of fixed size of all columns; null and empty text differ."""
     texts = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
     nulls = F.concat(*[c.isNull().cast("int").cast("string") for c in columns])
-    return _key(F.concat_ws("|", nulls, *texts))
+    return _key(F.concat_ws("|", nulls, *texts), size)
 
 
 def row_keys(raw_cols: Sequence[str]) -> dict[str, Column]:
@@ -47,7 +49,7 @@ def row_keys(raw_cols: Sequence[str]) -> dict[str, Column]:
     content = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in raw_cols if c != "observation_id"]
     groups = [F.col(c) for c in (*GROUP_COLS, "source") if c in raw_cols]
     return {
-        "row_key": digest([F.col(c) for c in raw_cols]),
+        "row_key": digest([F.col(c) for c in raw_cols], ROW_KEY_BYTES),
         "content_key": _key(F.concat_ws("|", *content)),
         "group_key": digest(groups),
     }
